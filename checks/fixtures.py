@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from negmine.staging import new_stage_path
+from negmine.functions.json_text import let
+from negmine.staging import new_stage_path, spread, stage
 from negmine.operators.responses import query_doc_pairs
 from negmine.sources.readers import sample_queries
 
@@ -32,12 +33,13 @@ def few_shot_pool(spark, sf_dir) -> list[str]:
 
 def with_spread_queries(docs: DataFrame) -> DataFrame:
     """Add ``words``, ``q1``, ``q2``: six words each, from all over the text."""
-    spread = "array_join(transform(sequence(0, 5), i -> get(words, CAST((size(words) * (2 * i + {s})) DIV 12 AS INT))), ' ')"
-    return (
-        docs.withColumn("words", F.expr(r"filter(split(regexp_replace(text, '[^\\p{L}\\p{N} ]', ' '), ' '), w -> w <> '')"))
-        .withColumn("q1", F.expr(spread.format(s=0)))
-        .withColumn("q2", F.expr(spread.format(s=1)))
-    )
+    def picked(words, shift):
+        places = [F.get(words, F.floor(F.size(words) * (2 * i + shift) / 12).cast("int")) for i in range(6)]
+        return F.concat_ws(" ", *places)
+
+    words = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N} ]", " "), " "), lambda w: w != "")
+    made = let(words, lambda w: F.struct(w.alias("words"), picked(w, 0).alias("q1"), picked(w, 1).alias("q2")))
+    return spread(docs, "doc_id").withColumn("_q", made).select("*", "_q.*").drop("_q")
 
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -59,7 +61,9 @@ def responses(spark, sf_dir) -> DataFrame:
         F.col("doc_id").cast("string"))
     block = F.struct(F.lit("text").alias("type"), answer.alias("text"))
     value = F.to_json(F.struct(record_id.alias("recordId"), F.struct(F.array(block).alias("content")).alias("modelOutput")))
-    return docs.select(F.col("doc_id").alias("line_id"), shape.alias("shape"), answer.alias("answer"), value.alias("value"))
+    # as response files would be: written before they are parsed
+    return stage(docs.select(F.col("doc_id").alias("line_id"), shape.alias("shape"), answer.alias("answer"),
+                             value.alias("value")), "responses")
 
 
 def pairs(spark, sf_dir) -> DataFrame:
@@ -82,12 +86,12 @@ def scored(spark, sf_dir) -> DataFrame:
     """One scored sample per document, with ties, short samples and length mismatches."""
     docs = with_spread_queries(table(spark, sf_dir, "documents"))
     n = "CAST(doc_id % 8 AS INT)"
-    return docs.select(
+    return stage(docs.select(
         F.col("doc_id").alias("sample_id"),
         F.concat_ws("#", "q1", F.col("doc_id").cast("string")).alias("query"),
         F.expr(f"transform(slice(sequence(0, 7), 1, {n}), p -> concat(p, ':', coalesce(get(words, CAST((size(words) * p) DIV 8 AS INT)), '')))").alias("docs"),
         F.expr(f"transform(slice(sequence(0, 7), 1, {n} - IF(doc_id % 11 = 0 AND {n} > 0, 1, 0)), p -> CAST((doc_id * 7919 + p * 104729) % 50 AS DOUBLE) / 10)").alias("scores"),
-    )
+    ), "scored")
 
 
 def vectors(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ from negmine.functions import text as tx
 from negmine.functions.vectors import inner_product, l2_norm, l2_normalize
 from negmine.operators import bm25, distill, inference, knn, negatives, numbering, requests, responses, scoring
 from negmine.sources import readers, writers
-from negmine.staging import new_stage_path
+from negmine.staging import new_stage_path, spread
 
 TOP = 25
 KEPT = 20
@@ -418,7 +418,7 @@ def skipped_samples(spark, sf):
 
 
 def encode(spark, sf):
-    made = inference.encode(fx.corpus(spark, sf), "text", models.hashing_encoder)
+    made = inference.encode(spread(fx.corpus(spark, sf), "doc_idx"), "text", models.hashing_encoder)
     buckets = made.select("doc_idx", F.posexplode("embedding").alias("bucket", "n"))
     return _long(buckets.filter(F.col("n") > 0), "bucket", "n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from negmine.functions.json_text import let, strict_json, string_or_null, variant_kind
-from negmine.functions.text import is_blank, strip_ws
+from negmine.functions.text import strip_ws
 from negmine.staging import stage
 
 OK, EMPTY, MALFORMED = "ok", "empty", "malformed"
@@ -83,8 +83,8 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """``line_id, record_id, queries, status`` of raw response lines."""
-    return parse_records(read_records(raw.filter(~is_blank(F.col("value")))))
+    """``line_id, record_id, queries, status`` of response lines, none of them blank."""
+    return parse_records(read_records(raw))
 
 
 def dedupe_last(corpus: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def parse_known(raw: DataFrame, corpus: DataFrame) -> DataFrame:
     cost no parsing.  Lines without an id get a key of their own: they match
     nothing, and must not all meet in one task.
     """
-    records = read_records(raw.filter(~is_blank(F.col("value"))))
+    records = read_records(raw)
     own = F.concat(F.lit("\u0000"), F.col("line_id").cast("string"))
     keyed = records.withColumn("_key", F.coalesce("record_id", own))
     ids = dedupe_last(corpus).withColumnRenamed("doc_id", "_key")

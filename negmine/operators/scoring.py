@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from negmine.constants import SCORE_BATCH, SCORED_NEGATIVES
 from negmine.operators.inference import score_pairs
-from negmine.staging import stage
+from negmine.staging import spread, stage
 
 
 def assemble_docs(positive: Column, negatives: Column, max_negatives: int = SCORED_NEGATIVES) -> Column:
@@ -35,7 +35,7 @@ def attach_scores(scored_pairs: DataFrame) -> DataFrame:
 def score_samples(samples: DataFrame, make_scorer, max_negatives: int = SCORED_NEGATIVES,
                   batch_size: int = SCORE_BATCH) -> DataFrame:
     """Scored samples.  Scores are staged: a model need not answer twice alike."""
-    pairs = score_pairs(sample_pairs(samples, max_negatives), make_scorer, batch_size)
+    pairs = score_pairs(sample_pairs(spread(samples, "sample_id"), max_negatives), make_scorer, batch_size)
     return attach_scores(stage(pairs, "pair-scores"))
 
 

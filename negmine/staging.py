@@ -36,6 +36,21 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Bytes a task is worth: inputs that cannot give every core this much are small.
+_TASK_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input to all cores before heavy work per row.
+
+    A file with few row groups is read by few tasks.  Large inputs have splits
+    for every core already and are left where they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * _TASK_BYTES else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     path = new_stage_path(df.sparkSession, name)
