@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from negmine.functions.json_text import let
+from negmine.functions.binding import let
 from negmine.staging import new_stage_path, spread, stage
 from negmine.operators.responses import query_doc_pairs
 from negmine.sources.readers import sample_queries

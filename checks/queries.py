@@ -438,7 +438,7 @@ def inner_product_next(spark, sf):
 
 
 def knn_blocked(spark, sf):
-    found = knn.knn_scan(fx.vector_queries(spark, sf), fx.vectors(spark, sf), TOP, seed_floors=True, batch_bytes=64 << 10)
+    found = knn.knn_scan(fx.vector_queries(spark, sf), fx.vectors(spark, sf), TOP, seed_floors=True, batch_bytes=128 << 10)
     return _ranked(found)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from negmine.functions.json_text import let, strict_json, string_or_null, variant_kind
+from negmine.functions.binding import let
+from negmine.functions.json_text import strict_json, string_or_null, variant_kind
 from negmine.functions.text import strip_ws
 from negmine.staging import stage
 

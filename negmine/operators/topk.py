@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from negmine.constants import SCORE_DECIMALS
 
-_CELLS = 4_000_000  # cells of one dense score matrix inside a task
+_CELLS = 400_000  # cells of one dense score matrix inside a task: a few MB, close to the core
 
 
 def rank_candidates(scored: DataFrame, k: int) -> DataFrame:
@@ -29,42 +29,45 @@ def chunk_size(columns: int) -> int:
 
 
 class BestSoFar:
-    """Running top k of one task: at most k rows per query of a bounded batch."""
+    """Running top k of one task: a (queries x k) table for a bounded batch."""
 
     def __init__(self, n_queries: int, k: int, floors: np.ndarray | None):
         self.k = k
         self.floors = np.full(n_queries, -np.inf) if floors is None else floors.copy()
-        self._queries = np.empty(0, np.int64)
-        self._docs = np.empty(0, np.int64)
-        self._scores = np.empty(0, np.float64)
+        self._scores = np.full((n_queries, k), -np.inf)
+        self._docs = np.zeros((n_queries, k), np.int64)
 
-    def add(self, first_query: int, docs: np.ndarray, scores: np.ndarray, empty: float) -> None:
+    def add(self, first: int, docs: np.ndarray, scores: np.ndarray, empty: float) -> None:
         """Offer a (queries x docs) matrix; cells at or below ``empty`` are no match."""
         scores = np.round(scores, SCORE_DECIMALS)
-        floor = self.floors[first_query:first_query + len(scores)]
+        floor = self.floors[first:first + len(scores)]
         if scores.shape[1] > self.k:
             kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
             floor = np.maximum(floor, kth)
         rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > empty))
-        self._keep(rows + first_query, docs[columns], scores[rows, columns])
-
-    def _keep(self, queries, docs, scores) -> None:
-        if not len(queries):
-            return
-        queries = np.concatenate([self._queries, queries])
-        docs = np.concatenate([self._docs, docs])
-        scores = np.concatenate([self._scores, scores])
-        order = np.lexsort((docs, -scores, queries))
-        queries, docs, scores = queries[order], docs[order], scores[order]
-        starts = np.flatnonzero(np.r_[True, queries[1:] != queries[:-1]])
-        place = np.arange(len(queries)) - np.repeat(starts, np.diff(np.r_[starts, len(queries)]))
+        if len(rows):
+            self._merge(first, len(scores), rows, docs[columns], scores[rows, columns])
+
+    def _merge(self, first: int, n: int, rows, docs, scores) -> None:
+        """Best k of what these queries hold and what is offered."""
+        held = self._scores[first:first + n]
+        old_rows, old_places = np.nonzero(held > -np.inf)
+        rows = np.concatenate([old_rows, rows])
+        docs = np.concatenate([self._docs[first:first + n][old_rows, old_places], docs])
+        scores = np.concatenate([held[old_rows, old_places], scores])
+        order = np.lexsort((docs, -scores, rows))
+        rows, docs, scores = rows[order], docs[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         kept = place < self.k
-        last = place == self.k - 1  # a full list raises its query's floor
-        self.floors[queries[last]] = np.maximum(self.floors[queries[last]], scores[last])
-        self._queries, self._docs, self._scores = queries[kept], docs[kept], scores[kept]
+        rows, place, scores = rows[kept], place[kept], scores[kept]
+        self._scores[first + rows, place] = scores
+        self._docs[first + rows, place] = docs[kept]
+        full = place == self.k - 1  # a full list raises its query's floor
+        self.floors[first + rows[full]] = np.maximum(self.floors[first + rows[full]], scores[full])
 
     def result(self) -> dict[str, np.ndarray]:
-        return {"qi": self._queries, "doc_idx": self._docs, "score": self._scores}
+        queries, places = np.nonzero(self._scores > -np.inf)
+        return {"qi": queries, "doc_idx": self._docs[queries, places], "score": self._scores[queries, places]}
 
 
 def query_batches(df: DataFrame, n_batches: int) -> Iterator[DataFrame]:
