@@ -39,7 +39,7 @@ def read_corpus(spark, sf):
 
 
 def extract_text(spark, sf):
-    return readers.extract_text(fx.table(spark, sf, "part"), "p_partkey", "p_name, p_brand,p_type,")
+    return readers.extract_text(fx.table(spark, sf, "part"), "p_partkey", "p_name, p_brand,p_type,", order_by=["p_partkey"])
 
 
 def with_doc_index(spark, sf):

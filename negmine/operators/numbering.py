@@ -54,6 +54,16 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = "doc_idx") -> Da
     )
 
 
+def number_in_place(df: DataFrame, name: str = "doc_idx") -> DataFrame:
+    """Position of each row in scan order; rows are written once and never shuffled."""
+    staged = stage(with_scan_counter(df), "scanned").withColumn("_range", F.shiftright("_scan", _POSITION_BITS))
+    offsets = _range_offsets(staged, F.lit(1))  # one row per task
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    at = F.col("_scan").bitwiseAND((1 << _POSITION_BITS) - 1)
+    return staged.join(offsets, "_range").withColumn(name, F.col("_offset") + at).drop("_range", "_scan", "_offset")
+
+
 def running_total(df: DataFrame, order_by: list[str], amount: str, name: str) -> DataFrame:
     """Add the total of ``amount`` over all earlier rows."""
     ranged = _in_ranges(df, order_by)

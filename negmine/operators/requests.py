@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +15,7 @@ from negmine.constants import (
     REQUEST_MAX_TOKENS,
     SEED,
 )
+from negmine.functions.binding import let
 from negmine.functions.text import truncate_text
 from negmine.sources.readers import cap_corpus
 
@@ -27,13 +29,28 @@ def pick_few_shot(samples: list[str], doc_id: Column, n_shots: int = FEW_SHOT_PI
                   seed: int = SEED) -> Column:
     """``n_shots`` of the sample queries per document, without replacement.
 
-    A hash of seed, document and sample decides, so a rerun picks the same
-    ones.  The pool is bounded by the sample reader.
+    One hash of seed and document gives a start and a stride.  The stride has no
+    factor in common with the size of the pool, so no sample comes twice, and
+    a rerun picks the same ones.  The pool is bounded by the sample reader.
     """
-    pool = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
-    keyed = F.transform(pool, lambda s: F.struct(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id, s)).alias("h"), s.alias("q")))
-    return F.transform(F.slice(F.sort_array(keyed), 1, n_shots), lambda x: x.q)
+    n = len(samples)
+    if not n:
+        return F.array().cast("array<string>")
+    strides = [a for a in range(1, n + 1) if math.gcd(a, n) == 1]
+    pool = F.array(*[F.lit(s) for s in samples])
+    stride_of = F.array(*[F.lit(a) for a in strides])
+
+    def number(digest: Column, first: int) -> Column:
+        return F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
+
+    def picked(digest: Column) -> Column:
+        return let(number(digest, 1), lambda start: let(
+            F.get(stride_of, (number(digest, 9) % len(strides)).cast("int")),
+            lambda stride: F.transform(
+                F.sequence(F.lit(0), F.lit(min(n_shots, n) - 1)),
+                lambda i: F.get(pool, ((start + stride * i) % n).cast("int")))))
+
+    return let(F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id)), picked)
 
 
 def render_prompt(text: Column, picked: Column | None, n_queries: int = QUERIES_PER_DOCUMENT) -> Column:

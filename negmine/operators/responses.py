@@ -93,6 +93,15 @@ def dedupe_last(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("doc_id").agg(F.max("doc_idx").alias("doc_idx"))
 
 
+def _with_key(records: DataFrame) -> DataFrame:
+    """Add ``_key``: the record id, or for a line without one a key of its own.
+
+    Lines without an id match nothing, and must not all meet in one task.
+    """
+    own = F.concat(F.lit("\u0000"), F.col("line_id").cast("string"))
+    return records.withColumn("_key", F.coalesce("record_id", own))
+
+
 def join_known(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """Records whose id the corpus has, with its position; unknown ids drop out."""
     ids = dedupe_last(corpus).withColumnRenamed("doc_id", "record_id")
@@ -101,8 +110,8 @@ def join_known(records: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def unknown_ids(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """Records whose id the corpus lacks."""
-    ids = corpus.select(F.col("doc_id").alias("record_id"))
-    return records.join(ids, "record_id", "left_anti")
+    ids = corpus.select(F.col("doc_id").alias("_key"))
+    return _with_key(records).join(ids, "_key", "left_anti").drop("_key")
 
 
 def explode_queries(parsed: DataFrame) -> DataFrame:
@@ -132,14 +141,10 @@ def parse_known(raw: DataFrame, corpus: DataFrame) -> DataFrame:
     """Every response line with its position (NULL if unknown) and parsed queries.
 
     Ids are matched before texts are parsed, so responses for unknown documents
-    cost no parsing.  Lines without an id get a key of their own: they match
-    nothing, and must not all meet in one task.
+    cost no parsing.
     """
-    records = read_records(raw)
-    own = F.concat(F.lit("\u0000"), F.col("line_id").cast("string"))
-    keyed = records.withColumn("_key", F.coalesce("record_id", own))
     ids = dedupe_last(corpus).withColumnRenamed("doc_id", "_key")
-    placed = keyed.join(ids, "_key", "left").drop("_key")
+    placed = _with_key(read_records(raw)).join(ids, "_key", "left").drop("_key")
     needed = placed.withColumn("malformed", F.col("record").isNull()).withColumn(
         "record", F.when(F.col("doc_idx").isNotNull(), F.col("record")))
     return parse_records(needed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,12 +29,43 @@ def chunk_size(columns: int) -> int:
     return max(1, _CELLS // max(1, columns))
 
 
+@dataclass(frozen=True)
+class Floors:
+    """Per query of a batch: a score and a document that k documents reach."""
+
+    scores: np.ndarray
+    docs: np.ndarray
+
+    @staticmethod
+    def none(n_queries: int) -> Floors:
+        return Floors(np.full(n_queries, -np.inf), np.full(n_queries, np.iinfo(np.int64).max))
+
+
+def slice_floors(found: DataFrame, n_queries: int, k: int) -> Floors:
+    """The k-th best per query (``qi, doc_idx, score``) over some of the documents.
+
+    The k-th best of some never ranks before the k-th best of all, so dropping
+    what ranks behind it loses nothing.  At most one row per query of a batch.
+    """
+    ranked = rank_candidates(found.withColumnRenamed("qi", "query_id"), k)
+    kth = ranked.filter(F.col("rank") == k).select("query_id", "score", "doc_idx").toPandas()
+    floors, at = Floors.none(n_queries), kth["query_id"].to_numpy(int)
+    floors.scores[at], floors.docs[at] = kth["score"].to_numpy(), kth["doc_idx"].to_numpy()
+    return floors
+
+
 class BestSoFar:
-    """Running top k of one task: a (queries x k) table for a bounded batch."""
+    """Running top k of one task: a (queries x k) table for a bounded batch.
+
+    ``floors`` gives per query a score and a document that k documents are known
+    to reach.  What ranks behind is dropped at once, among equal scores too, so
+    many copies of one document do not pass as many candidates.
+    """
 
-    def __init__(self, n_queries: int, k: int, floors: np.ndarray | None):
+    def __init__(self, n_queries: int, k: int, floors: Floors | None):
         self.k = k
-        self.floors = np.full(n_queries, -np.inf) if floors is None else floors.copy()
+        known = floors or Floors.none(n_queries)
+        self.floors, self.floor_docs = known.scores.copy(), known.docs.copy()
         self._scores = np.full((n_queries, k), -np.inf)
         self._docs = np.zeros((n_queries, k), np.int64)
 
@@ -45,8 +77,10 @@ class BestSoFar:
             kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
             floor = np.maximum(floor, kth)
         rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > empty))
-        if len(rows):
-            self._merge(first, len(scores), rows, docs[columns], scores[rows, columns])
+        values, ids = scores[rows, columns], docs[columns]
+        ahead = (values > self.floors[first + rows]) | (ids <= self.floor_docs[first + rows])
+        if ahead.any():
+            self._merge(first, len(scores), rows[ahead], ids[ahead], values[ahead])
 
     def _merge(self, first: int, n: int, rows, docs, scores) -> None:
         """Best k of what these queries hold and what is offered."""
@@ -62,8 +96,10 @@ class BestSoFar:
         rows, place, scores = rows[kept], place[kept], scores[kept]
         self._scores[first + rows, place] = scores
         self._docs[first + rows, place] = docs[kept]
-        full = place == self.k - 1  # a full list raises its query's floor
-        self.floors[first + rows[full]] = np.maximum(self.floors[first + rows[full]], scores[full])
+        # the last of a full list is a new floor; it never ranks behind the old one
+        full = place == self.k - 1
+        self.floors[first + rows[full]] = scores[full]
+        self.floor_docs[first + rows[full]] = docs[kept][full]
 
     def result(self) -> dict[str, np.ndarray]:
         queries, places = np.nonzero(self._scores > -np.inf)

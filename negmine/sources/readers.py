@@ -11,6 +11,7 @@ from negmine.constants import FEW_SHOT_POOL, SAMPLE_QUERY_FIELDS
 from negmine.functions.json_text import has_key, strict_json, variant_kind
 from negmine.functions.text import concat_fields, first_truthy, is_blank, strip_ws
 from negmine.operators.numbering import (
+    number_in_place,
     number_rows,
     number_staged,
     running_total,
@@ -122,17 +123,17 @@ def extract_text(df: DataFrame, id_col: str, fields, max_docs: int | None = None
     """``doc_idx, doc_id, text`` from the text fields of any table.
 
     Only the id and the named fields are read.  Documents without any text are
-    dropped first, so the cap counts kept documents.
+    dropped first, so the cap counts kept documents.  Positions follow the scan,
+    without a shuffle, or the columns ``order_by``.
     """
     names = parse_field_list(fields) if isinstance(fields, str) else list(fields)
-    order = order_by or [id_col]
-    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(order)]
+    keys = {f"_by{i}": F.col(c) for i, c in enumerate(order_by or [])}
     kept = df.select(
         F.col(id_col).cast("string").alias("doc_id"),
         concat_fields(*[F.col(n) for n in names]).alias("text"),
-        *keys,
+        *[c.alias(name) for name, c in keys.items()],
     ).filter(F.col("text") != "")
-    numbered = number_rows(kept, [f"_by{i}" for i in range(len(order))])
+    numbered = number_rows(kept, list(keys)) if keys else number_in_place(kept)
     return cap_corpus(numbered.select("doc_idx", "doc_id", "text"), max_docs)
 
 
