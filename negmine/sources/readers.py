@@ -201,10 +201,9 @@ def read_sample_queries(spark: SparkSession, path: str | None,
     if not path:
         return []
     schema = T.StructType([T.StructField(c, T.StringType()) for c in SAMPLE_QUERY_FIELDS])
-    lines = scan_position(spark.read.text(path)).filter(~is_blank(F.col("value")))
     try:
-        counted = with_scan_counter(lines)
-        first = counted.orderBy("_file", "_start", "_scan").limit(max_samples)
+        lines = scan_position(spark.read.text(path)).filter(~is_blank(F.col("value")))
+        first = with_scan_counter(lines).orderBy("_file", "_start", "_scan").limit(max_samples)
         parsed = first.select("_file", "_start", "_scan",
                               F.from_json("value", schema, _STRICT).alias("r")).select("_file", "_start", "_scan", "r.*")
         rows = sample_queries(parsed, ["_file", "_start", "_scan"], max_samples).collect()
