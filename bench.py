@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import REGISTERED  # noqa: E402
+from negmine.staging import stage_scope  # noqa: E402
 
 HEADLINE = [
     "read_corpus", "validate_corpus", "extract_text", "with_doc_index",
@@ -46,9 +47,10 @@ def main() -> None:
     for name in names:
         taken = []
         for _ in range(int(os.environ.get("BENCH_RUNS", "2"))):
-            started = time.perf_counter()
-            REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            taken.append(round(time.perf_counter() - started, 3))
+            with stage_scope(spark):
+                started = time.perf_counter()
+                REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                taken.append(round(time.perf_counter() - started, 3))
         seconds[name] = min(taken)
         print(f"{name}: {taken}", file=sys.stderr, flush=True)
     spark.stop()

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import REGISTERED
+from negmine.staging import stage_scope
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -29,8 +30,9 @@ def rows_of(columns, rows):
 
 def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     started = time.time()
-    df = REGISTERED[name](spark, sf_dir)
-    got_columns, got = rows_of(df.columns, df.collect())
+    with stage_scope(spark):
+        df = REGISTERED[name](spark, sf_dir)
+        got_columns, got = rows_of(df.columns, df.collect())
     spent = time.time() - started
     if name not in ORACLE:
         return True, f"rows only: {len(got)} ({spent:.1f} s)"

@@ -17,6 +17,7 @@ from negmine.operators.responses import query_doc_pairs
 from negmine.operators.scoring import score_samples
 from negmine.plans.config import RunConfig
 from negmine.sources.readers import cap_corpus, extract_text, read_corpus, read_sample_queries, require_valid_corpus
+from negmine.staging import stage_scope
 
 
 def require_non_empty(df: DataFrame, step: str) -> DataFrame:
@@ -35,7 +36,8 @@ def _is_written(spark: SparkSession, path: str) -> bool:
 def _step(spark: SparkSession, out: str, name: str, make) -> DataFrame:
     path = f"{out.rstrip('/')}/{name}"
     if not _is_written(spark, path):
-        make().write.mode("overwrite").parquet(path)
+        with stage_scope(spark):
+            make().write.mode("overwrite").parquet(path)
     return require_non_empty(spark.read.parquet(path), name)
 
 

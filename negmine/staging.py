@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_scope: ContextVar[str] = ContextVar("stage_scope", default="")
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -33,7 +36,20 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_root(spark)}/{_scope.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Delete what is staged inside the block when it ends; results must be written by then."""
+    folder = f"scope-{uuid.uuid4().hex}/"
+    token = _scope.set(_scope.get() + folder)
+    path = f"{stage_root(spark)}/{_scope.get()}"
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, path)
 
 
 # Bytes a task is worth: inputs that cannot give every core this much are small.
@@ -74,6 +90,10 @@ def read_stage(like: DataFrame, path: str) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete everything this application staged."""
+    _delete(spark, stage_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

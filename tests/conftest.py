@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from negmine.staging import drop_stages
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,6 +16,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stages(session)
     session.stop()
 
 

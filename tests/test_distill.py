@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from negmine import models
 from negmine.operators import distill as d, scoring
