@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # A key on more than one row in HOT_SHARE is hot, so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 500
+# Fewer rows than this are no load for one task, whatever their keys.
+MIN_ROWS = 1_000_000
 
 
 def join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -13,11 +15,13 @@ def join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
     Hot keys would send a large share of ``rows`` to one task.  Their few lookup
     rows are broadcast instead, so hot rows stay where they are; all other rows
-    take the ordinary join.  ``rows`` is read twice and should be staged.
+    take the ordinary join.  Both tables are read more than once and should be staged.
     """
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    hot = [r[key] for r in counted.filter(F.col("_n") * HOT_SHARE > total).select(key).collect()] if total > HOT_SHARE else []
+    if total < MIN_ROWS:
+        return rows.join(lookup, key)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = [r[key] for r in counted.filter(F.col("_n") * HOT_SHARE > total).collect()]
     if not hot:
         return rows.join(lookup, key)
     is_hot = F.col(key).isin(hot)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from negmine.constants import SCORE_DECIMALS
@@ -13,14 +14,14 @@ from negmine.constants import SCORE_DECIMALS
 _CELLS = 400_000  # cells of one dense score matrix inside a task: a few MB, close to the core
 
 
-def rank_candidates(scored: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` per ``query_id`` with ``rank`` from 1.
+def rank_candidates(scored: DataFrame, k: int, query: str = "query_id") -> DataFrame:
+    """Top ``k`` per query with ``rank`` from 1.
 
     Written as a row-number filter so that Spark keeps k rows per query and
     task before the shuffle.
     """
     rounded = scored.withColumn("score", F.round("score", SCORE_DECIMALS))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_idx")
+    best = Window.partitionBy(query).orderBy(F.col("score").desc(), "doc_idx")
     return rounded.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -47,9 +48,8 @@ def slice_floors(found: DataFrame, n_queries: int, k: int) -> Floors:
     The k-th best of some never ranks before the k-th best of all, so dropping
     what ranks behind it loses nothing.  At most one row per query of a batch.
     """
-    ranked = rank_candidates(found.withColumnRenamed("qi", "query_id"), k)
-    kth = ranked.filter(F.col("rank") == k).select("query_id", "score", "doc_idx").toPandas()
-    floors, at = Floors.none(n_queries), kth["query_id"].to_numpy(int)
+    kth = rank_candidates(found, k, "qi").filter(F.col("rank") == k).toPandas()
+    floors, at = Floors.none(n_queries), kth["qi"].to_numpy(int)
     floors.scores[at], floors.docs[at] = kth["score"].to_numpy(), kth["doc_idx"].to_numpy()
     return floors
 
@@ -106,6 +106,17 @@ class BestSoFar:
         return {"qi": queries, "doc_idx": self._docs[queries, places], "score": self._scores[queries, places]}
 
 
+def named_topk(found: DataFrame, query_ids: list[str], k: int) -> DataFrame:
+    """``query_id, doc_idx, score, rank`` from the ``qi, doc_idx, score`` of all tasks.
+
+    Ids of the batch are put back after ranking, on k rows per query.
+    """
+    names = found.sparkSession.createDataFrame(
+        pd.DataFrame({"qi": np.arange(len(query_ids)), "query_id": np.array(query_ids, dtype=object)}),
+        "qi LONG, query_id STRING")
+    return rank_candidates(found, k, "qi").join(F.broadcast(names), "qi").select("query_id", "doc_idx", "score", "rank")
+
+
 def query_batches(df: DataFrame, n_batches: int) -> Iterator[DataFrame]:
     """Disjoint parts of the queries, by hash, that together hold all of them."""
     for i in range(n_batches):
