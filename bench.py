@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import REGISTERED  # noqa: E402
+from negmine.shipping import ship  # noqa: E402
 from negmine.staging import stage_scope  # noqa: E402
 
 HEADLINE = [
@@ -42,6 +43,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     spark.range(1000).selectExpr("sum(id)").collect()  # session start is not measured
     seconds = {}
     for name in names:

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import REGISTERED
+from negmine.shipping import ship
 from negmine.staging import stage_scope
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -55,6 +56,7 @@ def main(argv: list[str]) -> int:
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     con = open_oracle(sf_dir)
     failed = 0
     for name in names:

@@ -27,5 +27,6 @@ from negmine.sources.readers import (
     require_valid_corpus,
     validate_corpus,
 )
+from negmine.shipping import ship
 from negmine.sources.writers import write_corpus, write_requests, write_samples, write_scored
 from negmine.staging import drop_stages, stage, stage_scope

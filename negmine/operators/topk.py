@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from negmine.constants import SCORE_DECIMALS
 
+# Large searches score one document in SEED_SLICES first, for floors.
+SEED_SLICES = 64
+SEED_CANDIDATES = 20_000_000
+# Unrounded scores are compared with rounded floors with this much to spare.
+_SLACK = 10.0 ** -SCORE_DECIMALS
 _CELLS = 400_000  # cells of one dense score matrix inside a task: a few MB, close to the core
 
 
@@ -42,6 +47,16 @@ class Floors:
         return Floors(np.full(n_queries, -np.inf), np.full(n_queries, np.iinfo(np.int64).max))
 
 
+def in_slice() -> Column:
+    """One document in SEED_SLICES, by hash."""
+    return F.pmod(F.xxhash64("doc_idx"), F.lit(SEED_SLICES)) == 0
+
+
+def pays_to_seed(n_tasks: int, n_queries: int, k: int) -> bool:
+    """A slice must hold more than one task does, and spare many candidate rows."""
+    return n_tasks > SEED_SLICES and n_tasks * n_queries * k > SEED_CANDIDATES
+
+
 def slice_floors(found: DataFrame, n_queries: int, k: int) -> Floors:
     """The k-th best per query (``qi, doc_idx, score``) over some of the documents.
 
@@ -69,37 +84,45 @@ class BestSoFar:
         self._scores = np.full((n_queries, k), -np.inf)
         self._docs = np.zeros((n_queries, k), np.int64)
 
-    def add(self, first: int, docs: np.ndarray, scores: np.ndarray, empty: float) -> None:
-        """Offer a (queries x docs) matrix; cells at or below ``empty`` are no match."""
-        scores = np.round(scores, SCORE_DECIMALS)
-        floor = self.floors[first:first + len(scores)]
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            floor = np.maximum(floor, kth)
-        rows, columns = np.nonzero((scores >= floor[:, None]) & (scores > empty))
-        values, ids = scores[rows, columns], docs[columns]
-        ahead = (values > self.floors[first + rows]) | (ids <= self.floor_docs[first + rows])
+    def can_reach(self, bounds: np.ndarray) -> np.ndarray:
+        """Queries whose score bound still reaches their floor."""
+        return np.flatnonzero((bounds > 0) & (bounds >= self.floors - _SLACK))
+
+    def add(self, queries: np.ndarray, docs: np.ndarray, scores: np.ndarray, matches_only: bool) -> None:
+        """Offer a (queries x docs) matrix; with ``matches_only`` a cell of 0 is no match."""
+        least = self.floors[queries] - _SLACK
+        if matches_only:
+            least = np.maximum(least, np.finfo(float).tiny)
+        passing = scores >= least[:, None]
+        crowded = np.flatnonzero(passing.sum(axis=1) > 4 * self.k)
+        if len(crowded):
+            kth = np.partition(scores[crowded], -self.k, axis=1)[:, -self.k]
+            passing[crowded] = scores[crowded] >= np.maximum(kth - _SLACK, least[crowded])[:, None]
+        rows, columns = np.nonzero(passing)
+        values, ids, asked = np.round(scores[rows, columns], SCORE_DECIMALS), docs[columns], queries[rows]
+        floor = self.floors[asked]
+        ahead = (values > floor) | ((values == floor) & (ids <= self.floor_docs[asked]))
         if ahead.any():
-            self._merge(first, len(scores), rows[ahead], ids[ahead], values[ahead])
+            self._merge(queries, rows[ahead], ids[ahead], values[ahead])
 
-    def _merge(self, first: int, n: int, rows, docs, scores) -> None:
+    def _merge(self, queries: np.ndarray, rows, docs, scores) -> None:
         """Best k of what these queries hold and what is offered."""
-        held = self._scores[first:first + n]
+        held = self._scores[queries]
         old_rows, old_places = np.nonzero(held > -np.inf)
         rows = np.concatenate([old_rows, rows])
-        docs = np.concatenate([self._docs[first:first + n][old_rows, old_places], docs])
+        docs = np.concatenate([self._docs[queries[old_rows], old_places], docs])
         scores = np.concatenate([held[old_rows, old_places], scores])
         order = np.lexsort((docs, -scores, rows))
         rows, docs, scores = rows[order], docs[order], scores[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         kept = place < self.k
-        rows, place, scores = rows[kept], place[kept], scores[kept]
-        self._scores[first + rows, place] = scores
-        self._docs[first + rows, place] = docs[kept]
+        asked, place, docs, scores = queries[rows[kept]], place[kept], docs[kept], scores[kept]
+        self._scores[asked, place] = scores
+        self._docs[asked, place] = docs
         # the last of a full list is a new floor; it never ranks behind the old one
         full = place == self.k - 1
-        self.floors[first + rows[full]] = scores[full]
-        self.floor_docs[first + rows[full]] = docs[kept][full]
+        self.floors[asked[full]] = scores[full]
+        self.floor_docs[asked[full]] = docs[full]
 
     def result(self) -> dict[str, np.ndarray]:
         queries, places = np.nonzero(self._scores > -np.inf)

@@ -56,15 +56,18 @@ def stage_scope(spark: SparkSession):
 _TASK_BYTES = 128 << 20
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     """Give a small input to all cores before heavy work per row.
 
     A file with few row groups is read by few tasks.  Large inputs have splits
     for every core already and are left where they are, without a shuffle.
+    Without a unique key rows are dealt out one by one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * _TASK_BYTES else df
+    if size >= cores * _TASK_BYTES:
+        return df
+    return df.repartition(cores, unique_key) if unique_key else df.repartition(cores)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

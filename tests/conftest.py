@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from negmine.shipping import ship
 from negmine.staging import drop_stages
 
 
@@ -15,6 +16,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     drop_stages(session)
     session.stop()
