@@ -10,21 +10,21 @@ HOT_SHARE = 500
 MIN_ROWS = 1_000_000
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with ``lookup``, which holds each key once.
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``lookup``, which holds each key once.
 
     Hot keys would send a large share of ``rows`` to one task.  Their few lookup
     rows are broadcast instead, so hot rows stay where they are; all other rows
-    take the ordinary join.  Both tables are read more than once and should be staged.
+    take the ordinary join.  ``rows`` is read more than once and should be staged.
     """
     total = rows.count()
     if total < MIN_ROWS:
-        return rows.join(lookup, key)
+        return rows.join(lookup, key, how)
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = [r[key] for r in counted.filter(F.col("_n") * HOT_SHARE > total).collect()]
     if not hot:
-        return rows.join(lookup, key)
-    is_hot = F.col(key).isin(hot)
-    usual = rows.filter(~is_hot).join(lookup, key)
-    frequent = rows.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), key)
+        return rows.join(lookup, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    usual = rows.filter(~is_hot).join(lookup.filter(~is_hot), key, how)
+    frequent = rows.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), key, how)
     return usual.unionByName(frequent)

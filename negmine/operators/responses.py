@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from negmine.functions.binding import let
 from negmine.functions.json_text import strict_json, string_or_null, variant_kind
 from negmine.functions.text import strip_ws
+from negmine.operators.hotkeys import join_unique
 from negmine.staging import stage
 
 OK, EMPTY, MALFORMED = "ok", "empty", "malformed"
@@ -102,10 +103,15 @@ def _with_key(records: DataFrame) -> DataFrame:
     return records.withColumn("_key", F.coalesce("record_id", own))
 
 
+def _with_position(records: DataFrame, corpus: DataFrame, how: str) -> DataFrame:
+    """Join the position of the id; many answers for one document do not meet in one task."""
+    ids = dedupe_last(corpus).withColumnRenamed("doc_id", "_key")
+    return join_unique(stage(_with_key(records), "records"), ids, "_key", how).drop("_key")
+
+
 def join_known(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """Records whose id the corpus has, with its position; unknown ids drop out."""
-    ids = dedupe_last(corpus).withColumnRenamed("doc_id", "record_id")
-    return records.join(ids, "record_id", "inner")
+    return _with_position(records, corpus, "inner")
 
 
 def unknown_ids(records: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -143,8 +149,7 @@ def parse_known(raw: DataFrame, corpus: DataFrame) -> DataFrame:
     Ids are matched before texts are parsed, so responses for unknown documents
     cost no parsing.
     """
-    ids = dedupe_last(corpus).withColumnRenamed("doc_id", "_key")
-    placed = _with_key(read_records(raw)).join(ids, "_key", "left").drop("_key")
+    placed = _with_position(read_records(raw), corpus, "left")
     needed = placed.withColumn("malformed", F.col("record").isNull()).withColumn(
         "record", F.when(F.col("doc_idx").isNotNull(), F.col("record")))
     return parse_records(needed)
