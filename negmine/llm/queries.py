@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from negmine.llm import (bpe, decontaminate, language_crf, quality_gam, risk_rules, template_removal,
+from negmine.llm import (bpe, decontaminate, language_crf, parity_join, quality_gam, repeats, risk_rules, template_removal,
                          token_counts)
 from negmine.shipping import ship
 
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
 
@@ -31,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, quality_gam.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_crf.identify(docs, language_crf.learn(docs))
@@ -45,4 +53,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_template_removal, op2_decontamination, op4_token_counts, op6_quality, op8_language, op9_rules, op10_bpe)}
+    op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe)}
