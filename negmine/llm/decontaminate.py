@@ -162,17 +162,21 @@ def _blocks(windows: DataFrame, size: int) -> Iterator[Windows]:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+                  block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """Per row: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     A word is hit if it lies in any occurrence of any window.  Null and empty texts have no words; items without
     words have no window; an item without id is called ``null``, and items that share an id count once.  Without
-    items nothing is contaminated.  Repeated rows give repeated results; no other column is read.
+    items nothing is contaminated.  Repeated rows give repeated results.  Columns of ``keep`` are carried along after the
+    id, but for those with the name of a result; no other column is read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    keep = [k for k in keep or [] if k != id_col and k not in results]
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
-                        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = f"_id {kind}, _text string, spans array<long>, items array<string>"
+                        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
+                        F.struct(*keep, F.lit(0).alias("_none")).alias("_rest"))
+    kind, rest = (found.schema[c].dataType.simpleString() for c in ("_id", "_rest"))
+    schema = f"_id {kind}, _text string, spans array<long>, items array<string>, _rest {rest}"
     for block in _blocks(item_windows(items, item_id_col, item_text_col, window), block_windows):
         shingles = block.all_shingles()
         block.order_by(shingles, _frequency(found, shingles, block.sizes))
@@ -194,11 +198,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.int64()),
-                 pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())],
-                names=["_id", "n_words", "n_hit", "n_items", "items_sha256"])
+                 pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), batch.column(4)],
+                names=["_id", "n_words", "n_hit", "n_items", "items_sha256", "_rest"])
 
-    return (found.mapInArrow(finish, f"_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-            .select(F.col("_id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256",
+    return (found.mapInArrow(finish, f"_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, _rest {rest}")
+            .select(F.col("_id").alias(id_col), *(F.col("_rest")[k].alias(k) for k in keep), "n_words", "n_hit", "n_items", "items_sha256",
                     (F.col("n_hit") > 0).alias("contaminated")))
 
 
@@ -227,8 +231,8 @@ def _searcher(shared):
             spans = [_merged(s) for s in spans]
             items = [sorted(set(i)) for i in items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["_id", "_text", "spans", "items"])
+                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), batch.column(4)],
+                names=["_id", "_text", "spans", "items", "_rest"])
 
     return run
 

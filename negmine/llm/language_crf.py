@@ -242,13 +242,16 @@ def learn(docs: DataFrame, max_rows: int = 2400, id_col: str = "doc_id", text_co
     return fit_crf([r["text"] for r in rows], [r["lang"] for r in rows], labels)
 
 
-def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text",
+             keep: list[str] | None = None) -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred`` and ``score``, the mean probability of that language over the words.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if no language was learned.
-    Ties go to the first language by name.  Rows with a null id are not held out; no other column is read.
+    Ties go to the first language by name.  Rows with a null id are not held out.  Columns of ``keep`` are carried
+    along after the id, but for those with the name of a result; no other column is read.
     """
     labels = model.labels
+    keep = [k for k in keep or [] if k not in (id_col, "held_out", "lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,14 +267,15 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
                 else:
                     langs.append("und")
                     scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["_id", "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-           .mapInArrow(run, f"_id {kind}, lang_pred string, score double"))
-    return out.select(F.col("_id").alias(id_col), F.coalesce(~training_side("_id"), F.lit(False)).alias("held_out"),
-                      "lang_pred", "score")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["_id", "_rest", "lang_pred", "score"])
+
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                       F.struct(*keep, F.lit(0).alias("_none")).alias("_rest"))
+    out = base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _rest {base.schema['_rest'].dataType.simpleString()}, lang_pred string, score double")
+    return out.select(F.col("_id").alias(id_col), *(F.col("_rest")[k].alias(k) for k in keep),
+                      F.coalesce(~training_side("_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def _has_letter(column: pa.Array, i: int) -> bool:

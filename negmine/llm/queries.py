@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from negmine.llm import (bpe, decontaminate, language_crf, parity_join, quality_gam, repeats, risk_rules, template_removal,
+from negmine.llm import (bpe, decontaminate, language_crf, line_dedup, parity_join, quality_gam, repeats, risk_rules, template_removal,
                          token_counts)
 from negmine.shipping import ship
 
@@ -30,6 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_gam.score_quality(docs, quality_gam.learn(docs, _table(spark, sf_dir, "labels")))
@@ -53,4 +59,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe)}
+    op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op5_line_dedup, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe)}
