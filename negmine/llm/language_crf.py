@@ -130,6 +130,8 @@ def _read(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[Chunk, np.nda
 
 def language_sums(model: Crf, column: pa.Array) -> np.ndarray:
     """Per text the summed probabilities of its words; all zero without words."""
+    if not model.labels:
+        return np.zeros((len(column), 0))
     out = []
     for chunk, starts, ends, rows, words in _read(column):
         if not len(words):
