@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from negmine.functions.binding import let
 
+# Texts may be of any length; only what the JSON standard allows is JSON.
+_ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1), "allowSingleQuotes": "false"}
+_STRICT = {**_ANY_LENGTH, "allowNonNumericNumbers": "false"}
+
+
+def _in_braces(t: Column, options: dict) -> Column:
+    return F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "variant", options)
+
 
 def strict_json(text: Column) -> Column:
     """The JSON value of the whole text as VARIANT, or NULL.
@@ -15,14 +23,33 @@ def strict_json(text: Column) -> Column:
     inside braces only one followed by ``}``; demanding both leaves no gap.
     """
     def single(t: Column) -> Column:
-        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-        return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), lambda v: F.when(
-            (F.size(F.try_variant_get(v, "$", "array<variant>")) == 1) & in_object.isNotNull(),
+        return let(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "variant", _STRICT), lambda v: F.when(
+            (F.size(F.try_variant_get(v, "$", "array<variant>")) == 1) & _in_braces(t, _STRICT).isNotNull(),
             F.try_variant_get(v, "$[0]", "variant")))
 
     return let(text, single)
 
 
+def strict_record(text: Column, schema: T.StructType) -> Column:
+    """The one JSON object that the whole text is, as ``schema``; NULL for anything else.
+
+    Two records on a line, trailing characters and repeated keys are no record.  NaN passes as a number.
+    """
+    def single(t: Column) -> Column:
+        listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), T.ArrayType(schema), _ANY_LENGTH)
+        return let(listed, lambda r: F.when(
+            (F.size(r) == 1) & _in_braces(t, _ANY_LENGTH).isNotNull(), F.get(r, F.lit(0))))
+
+    return let(text, single)
+
+
+def needed_record(text: Column, schema: T.StructType) -> Column:
+    """``strict_record``, where a text that is no record stops the job."""
+    start = F.substring(text, 1, 200)
+    return let(strict_record(text, schema), lambda r: F.when(r.isNotNull(), r).otherwise(
+        F.raise_error(F.concat(F.lit("malformed record: "), start))))
+
+
 def variant_kind(value: Column) -> Column:
     """STRING, OBJECT, ARRAY, BIGINT, VOID, ..."""
     return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
@@ -34,5 +61,6 @@ def string_or_null(value: Column, path: str) -> Column:
         variant_kind(m) == "STRING", F.try_variant_get(m, "$", "string")))
 
 
-def has_key(text: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+def has_key(value: Column, key: str) -> Column:
+    """Whether an object has the key, be its value null or not."""
+    return F.try_variant_get(value, f"$.{key}", "variant").isNotNull()

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from negmine.staging import stage
 
-# Up to this many input splits (about 100 bytes each) the offsets are broadcast.
-BROADCAST_SPLITS = 500_000
+# Bytes of input per range when rows are numbered by key.
+RANGE_BYTES = 256 << 20
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number, then 33 bits of position
 
 
 def _in_ranges(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Range partitioned, sorted and written, with ``_range`` and ``_at`` inside it."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, 100_000))
     row = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     return stage(
@@ -57,9 +58,7 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = "doc_idx") -> Da
 def number_in_place(df: DataFrame, name: str = "doc_idx") -> DataFrame:
     """Position of each row in scan order; rows are written once and never shuffled."""
     staged = stage(with_scan_counter(df), "scanned").withColumn("_range", F.shiftright("_scan", _POSITION_BITS))
-    offsets = _range_offsets(staged, F.lit(1))  # one row per task
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    offsets = F.broadcast(_range_offsets(staged, F.lit(1)))  # two numbers per task
     at = F.col("_scan").bitwiseAND((1 << _POSITION_BITS) - 1)
     return staged.join(offsets, "_range").withColumn(name, F.col("_offset") + at).drop("_range", "_scan", "_offset")
 
@@ -110,11 +109,11 @@ def number_staged(staged: DataFrame, name: str = "doc_idx") -> DataFrame:
     ``staged`` was written once with its scan counters, so the counting pass
     and the numbering pass cannot see different splits.
     """
-    offsets = split_offsets(staged).select("_file", "_start", "_first", "_before")
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    # three numbers per split: some tens of megabytes for a million splits, so text never moves for its number
+    split = F.xxhash64("_file", "_start").alias("_split")
+    offsets = F.broadcast(split_offsets(staged).select(split, (F.col("_before") - F.col("_first")).alias("_shift")))
     return (
-        staged.join(offsets, ["_file", "_start"])
-        .withColumn(name, F.col("_before") + F.col("_scan") - F.col("_first"))
-        .drop("_file", "_start", "_scan", "_first", "_before")
+        staged.withColumn("_split", split).join(offsets, "_split")
+        .withColumn(name, F.col("_shift") + F.col("_scan"))
+        .drop("_file", "_start", "_scan", "_split", "_shift")
     )

@@ -116,8 +116,7 @@ def join_known(records: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def unknown_ids(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """Records whose id the corpus lacks."""
-    ids = corpus.select(F.col("doc_id").alias("_key"))
-    return _with_key(records).join(ids, "_key", "left_anti").drop("_key")
+    return _with_position(records, corpus, "left").filter(F.col("doc_idx").isNull()).drop("doc_idx")
 
 
 def explode_queries(parsed: DataFrame) -> DataFrame:

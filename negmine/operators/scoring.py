@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from negmine.constants import SCORE_BATCH, SCORED_NEGATIVES
-from negmine.operators.inference import score_pairs
+from negmine.operators.inference import score_lists
 from negmine.staging import spread, stage
 
 
@@ -34,9 +34,14 @@ def attach_scores(scored_pairs: DataFrame) -> DataFrame:
 
 def score_samples(samples: DataFrame, make_scorer, max_negatives: int = SCORED_NEGATIVES,
                   batch_size: int = SCORE_BATCH) -> DataFrame:
-    """Scored samples.  Scores are staged: a model need not answer twice alike."""
-    pairs = score_pairs(sample_pairs(spread(samples, "sample_id"), max_negatives), make_scorer, batch_size)
-    return attach_scores(stage(pairs, "pair-scores"))
+    """Scored samples.  Scores are staged: a model need not answer twice alike.
+
+    A sample stays one row; its documents are scored in place, so no text is shuffled to find its sample again.
+    """
+    docs = spread(samples, "sample_id").select(
+        "sample_id", F.col("anchor").alias("query"),
+        assemble_docs(F.col("positive"), F.col("negatives"), max_negatives).alias("docs"))
+    return stage(score_lists(docs, make_scorer, batch_size), "scored-samples")
 
 
 def restore_order(scored: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ class RunConfig:
     id_column: str = "id"
     text_fields: str = "content"
     sample_queries_path: str | None = None
-    max_corpus_documents: int = 10_000_000
-    max_query_documents: int = 20_000
+    max_corpus_documents: int | None = None   # None: all
+    max_query_documents: int | None = None    # None: queries for all documents
     queries_per_document: int = c.QUERIES_PER_DOCUMENT
     max_doc_chars: int = c.MAX_DOC_CHARS
     mined_negatives: int = c.NEGATIVES_PER_QUERY
@@ -26,6 +26,10 @@ class RunConfig:
     num_negatives: int = c.NEGATIVES_PER_ROW
     teacher_score_scale_factor: float = c.TEACHER_SCALE
     top_n: int | None = None
+    responses_path: str | None = None    # answers of an external service; None: ask the generator
+    skip_bad_files: bool = False
+    pad_zero: bool = False               # fill short lexical results with documents of score 0
+    write_lines: bool = False            # also write JSON lines of requests, samples and scored samples
     seed: int = c.SEED
 
 
@@ -39,9 +43,14 @@ def merge_config(user: dict | None = None) -> RunConfig:
 
     def typed(name, value):
         default = known[name]
+        if isinstance(default, bool):
+            if str(value).lower() not in ("true", "false"):
+                raise ValueError(f"{name} must be true or false")
+            return str(value).lower() == "true"
         if isinstance(value, str) and isinstance(default, (int, float)):
             return type(default)(value)
-        return int(value) if name == "top_n" and value is not None else value
+        counts = ("top_n", "max_corpus_documents", "max_query_documents")
+        return int(value) if name in counts and value is not None else value
 
     config = RunConfig(**{name: typed(name, value) for name, value in user.items()})
     if config.input_type not in ("jsonl", "table"):

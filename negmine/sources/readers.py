@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from negmine.constants import FEW_SHOT_POOL, SAMPLE_QUERY_FIELDS
-from negmine.functions.json_text import has_key, strict_json, variant_kind
+from negmine.functions.json_text import has_key, needed_record, strict_json, strict_record, variant_kind
 from negmine.functions.text import concat_fields, first_truthy, is_blank, strip_ws
 from negmine.operators.numbering import (
     number_in_place,
@@ -33,7 +33,7 @@ SCORED = T.StructType([
     T.StructField("docs", T.ArrayType(T.StringType())),
     T.StructField("scores", T.ArrayType(T.DoubleType())),
 ])
-_STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false"}
+_ARRAY_FILE = {"mode": "FAILFAST", "allowSingleQuotes": "false", "maxStringLen": str((1 << 31) - 1)}
 
 
 def default_id(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def read_corpus(spark: SparkSession, path, max_docs: int | None = None) -> DataF
     only never read the text again.
     """
     lines = scan_position(spark.read.text(path)).filter(~is_blank(F.col("value")))
-    parsed = with_scan_counter(lines).withColumn("doc", F.from_json("value", CORPUS, _STRICT))
+    parsed = with_scan_counter(lines).withColumn("doc", needed_record(strip_ws(F.col("value")), CORPUS))
     staged = stage(
         parsed.select(
             F.col("doc.id").alias("doc_id"),
@@ -78,9 +78,8 @@ def validate_corpus(spark: SparkSession, path: str) -> DataFrame:
     parsed = lines.withColumn("v", F.when(~blank, strict_json(strip_ws(F.col("value")))))
     reason = (
         F.when(blank, F.lit(None))
-        .when(F.col("v").isNull(), "not valid JSON")
-        .when((variant_kind(F.col("v")) != "OBJECT") | ~has_key(F.col("value"), "text"),
-              "missing required 'text' field")
+        .when(F.col("v").isNull(), "the line is no JSON value")
+        .when((variant_kind(F.col("v")) != "OBJECT") | ~has_key(F.col("v"), "text"), "no object with a text")
     )
     checked = parsed.select("_file", "_start", "_scan", reason.alias("reason"), blank.alias("blank"))
     splits = stage(
@@ -158,7 +157,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """
     reader = spark.read.option("pathGlobFilter", "*.{jsonl,json}")
     lines = scan_position(reader.text(path)).filter(~is_blank(F.col("value")))
-    parsed = with_scan_counter(lines).withColumn("s", F.from_json("value", SAMPLE, _STRICT))
+    parsed = with_scan_counter(lines).withColumn("s", needed_record(strip_ws(F.col("value")), SAMPLE))
 
     def needed(field: str):
         missing = F.raise_error(F.lit(f"sample without '{field}'")).cast("string")
@@ -179,9 +178,11 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     The first character decides.  An array file cannot be split, so JSON lines
     is the form for large data.
     """
-    head = spark.read.text(path).filter(~is_blank(F.col("value"))).first()
-    is_array = head is not None and head.value.lstrip().startswith("[")
-    return spark.read.schema(SCORED).options(**_STRICT).json(path, multiLine=is_array)
+    lines = spark.read.text(path).filter(~is_blank(F.col("value")))
+    head = lines.select(F.substring(strip_ws(F.col("value")), 1, 1).alias("c")).first()
+    if head is not None and head.c == "[":
+        return spark.read.schema(SCORED).options(**_ARRAY_FILE).json(path, multiLine=True)
+    return lines.select(needed_record(strip_ws(F.col("value")), SCORED).alias("r")).select("r.*")
 
 
 def sample_query(df: DataFrame):
@@ -197,17 +198,21 @@ def sample_queries(df: DataFrame, order_by: list[str], max_samples: int = FEW_SH
 
 def read_sample_queries(spark: SparkSession, path: str | None,
                         max_samples: int = FEW_SHOT_POOL) -> list[str]:
-    """Up to ``max_samples`` example queries; none (and a warning) if unreadable."""
+    """Up to ``max_samples`` example queries; none (and a warning) if the file or a line is unreadable."""
     if not path:
         return []
     schema = T.StructType([T.StructField(c, T.StringType()) for c in SAMPLE_QUERY_FIELDS])
     try:
         lines = scan_position(spark.read.text(path)).filter(~is_blank(F.col("value")))
         first = with_scan_counter(lines).orderBy("_file", "_start", "_scan").limit(max_samples)
-        parsed = first.select("_file", "_start", "_scan",
-                              F.from_json("value", schema, _STRICT).alias("r")).select("_file", "_start", "_scan", "r.*")
-        rows = sample_queries(parsed, ["_file", "_start", "_scan"], max_samples).collect()
-        return [r.q for r in sorted(rows, key=lambda r: (r["_file"], r["_start"], r["_scan"]))]
+        place = ["_file", "_start", "_scan"]
+        parsed = stage(first.select(*place, strict_record(strip_ws(F.col("value")), schema).alias("r")), "sample-queries")
+        bad = parsed.filter(F.col("r").isNull()).count()  # at most max_samples rows
+        if bad:
+            log.warning("no sample queries from %s: %d malformed lines", path, bad)
+            return []
+        rows = sample_queries(parsed.select(*place, "r.*"), place, max_samples).collect()
+        return [r.q for r in sorted(rows, key=lambda r: tuple(r[c] for c in place))]
     except PySparkException as error:
         log.warning("no sample queries from %s: %s", path, error)
         return []

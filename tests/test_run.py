@@ -97,3 +97,61 @@ def test_requests_on_a_stream(spark, tmp_path):
         query.awaitTermination(60)
     got = sorted(json.loads(r.value)["recordId"] for r in spark.read.text(out).collect())
     assert got == ["1", "2", "3"]
+
+
+def test_changed_settings_and_inputs_are_made_again(spark, tmp_path):
+    out, path = str(tmp_path / "out"), corpus_file(tmp_path)
+    models_ = (models.spread_generator, models.overlap_scorer)
+    first = run(spark, merge_config({"corpus_path": path}), out, *models_)
+    assert "negative2" in first.columns and "negative3" not in first.columns
+    second = run(spark, merge_config({"corpus_path": path, "num_negatives": 4, "max_query_documents": 3}), out, *models_)
+    assert "negative4" in second.columns and second.count() == 3 * 2
+    (tmp_path / "corpus.jsonl").write_text("\n".join(json.dumps({"text": t}) for t in TEXTS[:9]))
+    assert run(spark, merge_config({"corpus_path": path}), out, *models_).select("query").distinct().count() <= 18
+
+
+def test_all_documents_are_asked_by_default(spark):
+    config = merge_config({})
+    assert config.max_corpus_documents is None and config.max_query_documents is None
+    assert merge_config({"max_query_documents": "7", "pad_zero": "true"}).pad_zero is True
+
+
+def answer(doc, queries):
+    return json.dumps({"recordId": doc, "modelOutput": {"content": [{"type": "text", "text": json.dumps({"queries": queries})}]}})
+
+
+def test_answers_of_an_external_service(spark, tmp_path):
+    answers = tmp_path / "answers"
+    answers.mkdir()
+    (answers / "a.jsonl.out").write_text("\n".join([
+        answer("0", ["cat food", "zzz"]), answer("1", ["dog lives"]), answer("999", ["unknown"]), "broken", answer("2", [])]))
+    (answers / "manifest.json").write_text("x")
+    config = merge_config({"corpus_path": corpus_file(tmp_path), "responses_path": str(answers), "pad_zero": True, "write_lines": True})
+    out = tmp_path / "out"
+    rows = run(spark, config, str(out), make_scorer=models.overlap_scorer)
+    assert rows.select("query").distinct().count() == 3  # "zzz" matches nothing and is padded
+    counts = spark.read.parquet(str(out / "counts")).first()
+    assert (counts.lines, counts.known, counts.unknown, counts.pairs, counts.errors) == (5, 3, 2, 3, 2)
+    assert counts.skipped_samples == 0 and counts.usable_samples == 3
+    assert len(spark.read.text(str(out / "requests-lines")).collect()) == len(TEXTS)
+    assert spark.read.json(str(out / "samples-lines")).count() == 3 and spark.read.json(str(out / "scored-lines")).count() == 3
+    unpadded = merge_config({"corpus_path": corpus_file(tmp_path), "responses_path": str(answers)})
+    run(spark, unpadded, str(out), make_scorer=models.overlap_scorer)
+    assert spark.read.parquet(str(out / "counts")).first().skipped_samples == 1
+
+
+def test_missing_models_are_told_first(spark, tmp_path):
+    config = merge_config({"corpus_path": corpus_file(tmp_path), "miner": "semantic"})
+    with pytest.raises(ValueError, match="make_encoder"):
+        run(spark, config, str(tmp_path / "out"), models.spread_generator, models.overlap_scorer)
+    with pytest.raises(ValueError, match="make_generator"):
+        run(spark, merge_config({"corpus_path": "x"}), str(tmp_path / "out"), make_scorer=models.overlap_scorer)
+
+
+@pytest.mark.parametrize("line, told", [('{"text":"a"}', "without id"), ('{"id":"1","text":"a"} x', "malformed"), ("{", "malformed")])
+def test_stream_refuses_what_no_answer_could_match(spark, tmp_path, line, told):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"id":"0","text":"fine"}\n' + line)
+    query = write_request_stream(corpus_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    with pytest.raises(Exception, match=told):
+        query.awaitTermination(60)
