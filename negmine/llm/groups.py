@@ -99,59 +99,66 @@ def shared_buckets(rows: DataFrame, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "component") -> DataFrame:
-    """``node`` and ``label``, the smallest node it is connected to, for all ends of edges (a, b).
+    """``node`` and ``label``, the smallest node it is connected to, for all ends of edges (a, b) but those smallest ones.
 
     Every node with smaller neighbours points to the smallest; pointers are followed to their ends, edges are
     drawn between the ends, and so on until none is left.  Only minima are aggregated, so a node with very many
     neighbours is no large group; every round is written, so losing an executor costs one round.
     """
-    left = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    labels = None
+    left = stage(_pairs(edges), f"{name}-edges")
+    labels = edges.select(F.col("b").alias("node"), F.col("a").alias("label")).limit(0)
     while not left.isEmpty():
-        points = stage(left.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("to")), f"{name}-points")
-        while True:
-            ahead = points.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            points = stage(points.join(ahead, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), f"{name}-points")
-            if points.where("moved").isEmpty():
-                break
+        points = stage(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), f"{name}-points")
+        going = True
+        while going:
+            one, two = (points.select(F.col("node").alias(f"at{i}"), F.col("to").alias(f"to{i}")) for i in (1, 2))
+            points = stage(points.join(one, F.col("to") == F.col("at1"), "left").select("node", F.coalesce("to1", "to").alias("mid"))
+                           .join(two, F.col("mid") == F.col("at2"), "left")
+                           .select("node", F.coalesce("to2", "mid").alias("to"), F.col("to2").isNotNull().alias("moved")), f"{name}-points")
+            going = not points.where("moved").isEmpty()
             points = points.drop("moved")
-        points = points.drop("moved")
-        if labels is None:
-            nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            labels = nodes.select("node", F.col("node").alias("label"))
-        step = points.select(F.col("node").alias("label"), F.col("to").alias("next"))
-        labels = stage(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"{name}-labels")
-        from_a = points.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
-        from_b = points.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
-        moved = (left.join(from_a, "a", "left").join(from_b, "b", "left")
-                 .select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).where("a <> b")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        left = stage(moved, f"{name}-edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-
-
-def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], name: str, star_rounds: int = 2) -> DataFrame:
-    """``node`` and ``label`` for all nodes that are linked to another.
+        labels = stage(_relabelled(labels, points).union(points), f"{name}-labels")
+        left = stage(_pairs(_between(left, points, "to")), f"{name}-edges")
+    return labels
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Different pairs (a, b) with a < b."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between(edges: DataFrame, points: DataFrame, to: str) -> DataFrame:
+    """The edges between what their ends point to."""
+    for end in ("a", "b"):
+        ends = points.select(F.col("node").alias(end), F.col(to).alias("_to"))
+        edges = edges.join(ends, end, "left").select(*[c for c in ("a", "b") if c != end], F.coalesce("_to", end).alias(end))
+    return edges.select("a", "b")
+
+
+def _relabelled(labels: DataFrame, points: DataFrame) -> DataFrame:
+    step = points.select(F.col("node").alias("label"), F.col("to").alias("_to"))
+    return labels.join(step, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+
+
+def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], name: str, star_rounds: int = 1) -> DataFrame:
+    """``node`` and ``label`` for all nodes that are linked to a smaller one, directly or not.
 
     ``shared`` comes from ``shared_buckets``; ``links`` takes different pairs (a, b) with a < b and returns those
     that are linked.
     """
-    def pairs(x: DataFrame) -> DataFrame:
-        return x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    asked = stage(pairs(shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))), f"{name}-pairs")
-    found = stage(links(asked), f"{name}-links")
+    asked = stage(_pairs(shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))), f"{name}-pairs")
+    labels = components(links(asked), name)
     members = shared.select("bucket", "node").union(shared.select("bucket", F.col("lead").alias("node"))).distinct()
     for round_ in range(star_rounds + 1):
-        labels = components(found, name)
         labelled = (members.join(labels, "node", "left")
                     .select("bucket", "node", F.coalesce("label", "node").alias("label")))
+        # a bucket of two has had its one pair compared
         mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-                 .where("low <> high and n > 2"))
+                 .where("low <> high and n > 2").select("bucket", "low"))
         mixed = stage(mixed, f"{name}-mixed")
         if mixed.isEmpty():
             break
-        members = stage(labelled.join(mixed.select("bucket", F.col("low")), "bucket"), f"{name}-members")
+        members = stage(labelled.join(mixed, "bucket"), f"{name}-members")
         if round_ < star_rounds:
             # another leader for everyone: of the members outside the lowest label one, chosen by hash
             best = stage(members.where("label <> low").groupBy("bucket")
@@ -161,10 +168,14 @@ def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], na
             other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
             new = (members.join(other, "bucket").where("node < b and label <> label_b")
                    .select(F.col("node").alias("a"), "b"))
-        new = stage(pairs(new).join(asked, ["a", "b"], "left_anti"), f"{name}-pairs")
+        new = stage(_pairs(new).join(asked, ["a", "b"], "left_anti"), f"{name}-pairs")
         members = members.select("bucket", "node")
         if new.isEmpty():
             continue
-        found = stage(found.union(links(new)), f"{name}-links")
+        added = components(_between(links(new), labels, "label"), name)
+        more = added.select("node", F.col("label").alias("to"))
+        # labels that moved on, and nodes that had no label of their own so far
+        fresh = more.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))
+        labels = stage(_relabelled(labels, more).union(fresh), f"{name}-labels")
         asked = stage(asked.union(new), f"{name}-pairs")
-    return components(found, name)
+    return labels

@@ -114,7 +114,7 @@ def test_components(spark):
             x, y = root(a), root(b)
             label[max(x, y)] = min(x, y)
     frame = spark.createDataFrame(edges, "a LONG, b LONG")
-    assert {r.node: r.label for r in groups.components(frame).collect()} == {x: root(x) for x in label}
+    assert {r.node: r.label for r in groups.components(frame).collect()} == {x: root(x) for x in label if root(x) != x}
     assert groups.components(frame.limit(0)).count() == 0
 
 
@@ -162,4 +162,4 @@ def test_linked_groups_compares_across_groups(spark):
         return pairs.where(F.concat_ws(":", "a", "b").isin([f"{a}:{b}" for a, b in near]))
 
     got_labels = {r.node: r.label for r in groups.linked_groups(shared, links, "t").collect()}
-    assert got_labels == {1: 1, 2: 1, 9: 1, 3: 3, 4: 3, 7: 7, 8: 7}
+    assert got_labels == {2: 1, 9: 1, 4: 3, 8: 7}
