@@ -49,7 +49,8 @@ def with_doc_index(spark, sf):
 
 def read_responses(spark, sf):
     path = fx.written_lines(fx.responses(spark, sf), "line_id", ".jsonl.out")
-    return responses.read_records(readers.read_responses(spark, path)).select("line_id", "record_id")
+    records = responses.read_records(readers.read_responses(spark, path))
+    return records.select("line_id", "record_id", F.md5(responses.response_text(F.col("record"))).alias("answer_md5"))
 
 
 def read_samples(spark, sf):
@@ -215,7 +216,7 @@ def unknown_ids(spark, sf):
 
 def dedupe_last(spark, sf):
     repeated = fx.corpus(spark, sf).withColumn("doc_id", (F.col("doc_idx") % 900).cast("string"))
-    return responses.dedupe_last(repeated)
+    return responses.dedupe_last(readers.cap_corpus(repeated, 950))
 
 
 def bm25_candidates(spark, sf):
@@ -362,8 +363,8 @@ def chunk_negatives(spark, sf):
 
 
 def restore_order(spark, sf):
-    ordered = scoring.restore_order(fx.scored(spark, sf)).select("sample_id", "query")
-    return numbering.number_rows(ordered, ["sample_id"], "place")
+    mixed = fx.scored(spark, sf).repartition(7, "query")
+    return numbering.number_in_place(scoring.restore_order(mixed).select("sample_id", "query"), "place")
 
 
 # --- composites -----------------------------------------------------------------------
