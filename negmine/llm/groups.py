@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from negmine.llm.bytehash import mix
@@ -140,14 +140,21 @@ def _relabelled(labels: DataFrame, points: DataFrame) -> DataFrame:
     return labels.join(step, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
 
 
-def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], name: str, star_rounds: int = 1) -> DataFrame:
+def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], name: str, traits: DataFrame,
+                  near: Callable[[str, str], Column], star_rounds: int = 1) -> DataFrame:
     """``node`` and ``label`` for all nodes that are linked to a smaller one, directly or not.
 
-    ``shared`` comes from ``shared_buckets``; ``links`` takes different pairs (a, b) with a < b and returns those
-    that are linked.
+    ``shared`` comes from ``shared_buckets``.  ``traits`` holds a struct ``traits`` for every node; ``near`` names a
+    condition on two such structs that all linked pairs fulfil.  ``links`` takes different pairs (a, b) with a < b
+    that fulfil it and returns those that are linked.
     """
+    def may_link(x: DataFrame) -> DataFrame:
+        left, right = (traits.select(F.col("node").alias(end), F.col("traits").alias(f"_{end}")) for end in ("a", "b"))
+        full = x.join(left, "a").join(right.withColumnRenamed("b", "_node"), (F.col("b") == F.col("_node")) & near("_a", "_b"))
+        return full.select("a", "b")
+
     asked = stage(_pairs(shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))), f"{name}-pairs")
-    labels = components(links(asked), name)
+    labels = components(links(may_link(asked)), name)
     members = shared.select("bucket", "node").union(shared.select("bucket", F.col("lead").alias("node"))).distinct()
     for round_ in range(star_rounds + 1):
         labelled = (members.join(labels, "node", "left")
@@ -165,10 +172,12 @@ def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], na
                          .agg(F.min_by("node", F.xxhash64("bucket", "node", F.lit(round_))).alias("lead")), f"{name}-leads")
             new = members.join(best, "bucket").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         else:
-            other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            new = (members.join(other, "bucket").where("node < b and label <> label_b")
-                   .select(F.col("node").alias("a"), "b"))
-        new = stage(_pairs(new).join(asked, ["a", "b"], "left_anti"), f"{name}-pairs")
+            known = stage(members.join(traits, "node"), f"{name}-members")
+            one = known.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("traits").alias("_a"))
+            two = known.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("traits").alias("_b"))
+            new = one.join(two, (F.col("bucket") == F.col("_bucket")) & F.expr("a < b and label_a <> label_b") & near("_a", "_b")).select("a", "b")
+        new = _pairs(new).join(asked, ["a", "b"], "left_anti")
+        new = stage(may_link(new) if round_ < star_rounds else new, f"{name}-pairs")
         members = members.select("bucket", "node")
         if new.isEmpty():
             continue
@@ -177,5 +186,5 @@ def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], na
         # labels that moved on, and nodes that had no label of their own so far
         fresh = more.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))
         labels = stage(_relabelled(labels, more).union(fresh), f"{name}-labels")
-        asked = stage(asked.union(new), f"{name}-pairs")
+        asked = asked.union(new)  # pairs that were compared; others need not be looked up again
     return labels

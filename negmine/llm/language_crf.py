@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from negmine.llm.bytehash import Chunk, byte_class, chunks, lowered, span_hash
+from negmine.llm.bytehash import CHUNK_BYTES, Chunk, byte_class, chunks, lowered, span_hash
 
 LETTERS = byte_class("[A-Za-z]", wide=True)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -122,7 +122,7 @@ def _pairs(left: np.ndarray, move: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left / scale).T @ right * move
 
 
-def _read(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _read(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for chunk in chunks(lowered(column), size):
         starts, ends, rows = chunk.words(LETTERS)
         yield chunk, starts, ends, rows, span_hash(chunk.prefix_hash(), starts, ends)

@@ -24,4 +24,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN word USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE = {"op2_decontamination": _DECONTAMINATION}
+_REPEATS = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+start AS (SELECT r, s, md5(array_slice(b, s + 1, s + 200)) AS m FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS s FROM doc)),
+twice AS (SELECT r, s FROM start WHERE m IN (SELECT m FROM start GROUP BY m HAVING count(*) > 1)),
+placed AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM twice),
+numbered AS (SELECT r, s, sum(CASE WHEN before IS NULL OR s - before > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS run FROM placed),
+span AS (SELECT r, run, min(s) AS lo, max(s) + 200 AS hi FROM numbered GROUP BY r, run),
+edge AS (SELECT r, lo, hi FROM span UNION ALL SELECT r, octet_length(b), octet_length(b) FROM doc),
+rest AS (SELECT e.r, e.lo, coalesce(lag(e.hi) OVER (PARTITION BY e.r ORDER BY e.lo, e.hi), 0) AS from_ FROM edge e),
+kept AS (SELECT rest.r, sha256(unhex(string_agg(CASE WHEN lo > from_ THEN hex(array_slice(b, from_ + 1, lo)) ELSE '' END, '' ORDER BY lo, from_))) AS kept_sha256
+         FROM rest JOIN doc USING (r) GROUP BY rest.r),
+total AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM span GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM doc JOIN kept USING (r) LEFT JOIN total USING (r)
+"""
+
+_NEAR = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM common JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT r AS x, r AS y FROM doc UNION SELECT reach.x, way.y FROM reach JOIN way ON reach.y = way.x),
+first AS (SELECT reach.x AS r, min(d.doc_id) AS component_id FROM reach JOIN doc d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM doc LEFT JOIN size USING (r) JOIN first USING (r)
+"""
+
+ORACLE = {"op2_decontamination": _DECONTAMINATION, "op3_repeats": _REPEATS, "op7_parity_join": _NEAR}

@@ -6,8 +6,8 @@ two documents do not share spoils at most one block, so the number of blocks tha
 differ never exceeds the symmetric difference of the sets.  Sets of Jaccard
 similarity 0.8 differ in at most a quarter of either set's size; more occupied
 blocks than that must be given, and one of them agrees.  Blocks are taken in one
-common order, the fullest first, which leaves out most of those that hold nothing but
-a widespread passage.  What meets in a block is compared by bit sketches, whose
+common order: those with the most shingles that are rare in the corpus first, so blocks that hold
+nothing but a widespread passage come last.  What meets in a block is compared by bit sketches, whose
 Hamming distance is a lower bound too, and then by the sets themselves.
 """
 
@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.batches import small_batches, stage_result
 from negmine.llm.bitset import bitset, may_hold
 from negmine.llm.bytehash import SPACED, chunks, lowered, mix, shingle_hashes
 from negmine.llm.groups import ROWS, bucket_batch, linked_groups, shared_buckets
@@ -42,7 +43,7 @@ def blocks_of(band: np.ndarray) -> np.ndarray:
 
 def sketch_bits(n: int) -> int:
     """Length of a set's bit sketch: a power of two, so that longer ones fold onto shorter ones."""
-    return max(64, 2 << max(0, int(n - 1).bit_length()))
+    return max(256, 2 << max(0, int(n - 1).bit_length()))
 
 
 def node_of(hashes: np.ndarray) -> tuple[int, int]:
@@ -57,6 +58,14 @@ def parity(hashes: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes) -> list[int]:
+    """Four words of the sketch, folded by exclusive or."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) > 4:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x.view(np.int64).tolist()
+
+
 def distance(a: bytes, b: bytes) -> int:
     """Hamming distance of two bit sketches, the longer one folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -72,10 +81,12 @@ def may_differ(a: int, b: int) -> int:
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def block_tokens(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_tokens(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band: np.ndarray,
+                 frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(token, owner) of the blocks that each set must give in the layout of ``band``.
 
-    ``hashes`` are the shingles of all sets, set after set; ``sizes`` and ``band`` are per set.
+    ``hashes`` are the shingles of all sets, set after set; ``sizes`` and ``band`` are per set.  ``frequent`` says
+    which shingles count less.  Any order of blocks will do as long as it depends on a block's shingles alone.
     """
     n_blocks = blocks_of(band)
     block = ((mix(hashes + _U(77)) >> _U(20)) % n_blocks[owner].astype(_U)).astype(np.int64)
@@ -88,9 +99,10 @@ def block_tokens(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     word = np.bitwise_xor.reduceat(hashes, at)
     full = np.diff(np.append(at, len(owner)))
+    rare = full if frequent is None else np.add.reduceat(~frequent[order], at, dtype=np.int64)
     own = owner[at]
     token = mix(word + mix((block[at].astype(_U) << _U(24)) + (band[own].astype(_U) << _U(16)) + np.minimum(full, 65535).astype(_U)))
-    rank = np.lexsort((token, -full, own))
+    rank = np.lexsort((token, -full, -rare, own))
     token, own = token[rank], own[rank]
     first = np.searchsorted(own, np.arange(len(sizes)))
     place = np.arange(len(own)) - first[own]
@@ -98,6 +110,70 @@ def block_tokens(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band:
     return token[place < need], own[place < need]
 
 
+# Cells that shingles are counted in, and parts in which the counts are shuffled.
+CELLS = 1 << 24
+_SLICES = 64
+# A cell is frequent with this many times the mean count, and at least LEAST_FREQUENT documents.
+_TIMES = 8
+LEAST_FREQUENT = 64
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - 24)).astype(np.int64)
+
+
+def frequent_cells(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Bits of the cells whose shingles stand in many documents, from counts over all of them.
+
+    A rare shingle may share a cell with a frequent one; that costs some selectivity and no result.  A task sums its
+    counts before they are shuffled, a reducer holds a few slices of them, the driver gets one bit per cell.
+    """
+    width = CELLS // _SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.uint8)
+        for batch in batches:
+            for _, hashes, _ in _sets(batch.column(0)):
+                cells, n = np.unique(_cell(hashes), return_counts=True)
+                total[cells] += np.minimum(n, 255 - total[cells]).astype(np.uint8)  # full cells stay full
+        blobs = [pa.compress(total[i * width:(i + 1) * width].tobytes(), codec="zstd", asbytes=True) for i in range(_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(pa.decompress(blob.as_buffer(), decompressed_size=width, codec="zstd", asbytes=True), np.uint8)
+                sums[i] = sums[i] + part if i in sums else part.astype(np.uint32)
+        blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())],
+            names=["slice", "counts", "n"])
+
+    counts = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "slice int, counts binary")
+    summed = stage(counts.repartition("slice").mapInArrow(add, "slice int, counts binary, n long"), "cells")
+    total = summed.agg(F.sum("n").alias("n")).first().n or 0
+    least = max(LEAST_FREQUENT, _TIMES * total // CELLS)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for blob in batch.column(1):
+                raw = pa.decompress(blob.as_buffer(), decompressed_size=4 * width, codec="zstd", asbytes=True)
+                blobs.append(np.packbits(np.frombuffer(raw, np.uint32) > least).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["slice", "bits"])
+
+    out = np.zeros(CELLS // 8, dtype=np.uint8)
+    for r in summed.select("slice", "counts").mapInArrow(judge, "slice int, bits binary").collect():
+        out[r["slice"] * width // 8:(r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _is_frequent(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = _cell(hashes)
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for chunk in chunks(lowered(column)):
         hashes, bounds = shingle_hashes(chunk, SPACED, SHINGLE)
@@ -105,25 +181,35 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def set_rows(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` with the node, its check value and the number of shingles of every row; no node for an empty set."""
+    """``keep`` with the node, its check value, number of shingles and sketches of every row; no node for an empty set.
+
+    ``few`` is the bit sketch folded to 256 bits, ``sketch`` the whole one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, checks, sizes = [], [], []
+            nodes, checks, sizes, few, sketches = [], [], [], [], []
             for _, hashes, bounds in _sets(batch.column(len(keep))):
                 for lo, hi in zip(bounds[:-1], bounds[1:]):
                     a, b = node_of(hashes[lo:hi])
                     nodes.append(a if hi > lo else None)
                     checks.append(b)
                     sizes.append(int(hi - lo))
+                    sketch = parity(hashes[lo:hi], sketch_bits(hi - lo))
+                    sketches.append(sketch)
+                    few.append(folded(sketch))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64())],
-                names=[*keep, "node", "mark", "n_shingles"])
+                [*batch.columns[:len(keep)], pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(few, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=[*keep, "node", "mark", "n_shingles", "few", "sketch"])
 
-    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["node long", "mark long", "n_shingles long"]
+    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [
+        "node long", "mark long", "n_shingles long", "few array<long>", "sketch binary"]
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, ", ".join(fields))
 
 
 def _token_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, text_col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets, nodes, seen = [], [], set()
@@ -144,7 +230,8 @@ def _token_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 owner = np.repeat(np.arange(len(fresh)), sizes)
                 band = np.frexp(sizes)[1] - 1
                 names = np.array(names, dtype=np.int64)
-                token, own = block_tokens(hashes[at], owner, sizes, band)
+                frequent = _is_frequent(shared.value, hashes[at])
+                token, own = block_tokens(hashes[at], owner, sizes, band, frequent)
                 buckets.append(token)
                 nodes.append(names[own])
                 # a set near the lower end of its band may be similar to one of the band below
@@ -152,7 +239,7 @@ def _token_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 if low.any():
                     some = low[owner]
                     place = np.cumsum(low) - 1
-                    token, own = block_tokens(hashes[at][some], place[owner[some]], sizes[low], band[low] - 1)
+                    token, own = block_tokens(hashes[at][some], place[owner[some]], sizes[low], band[low] - 1, frequent[some])
                     buckets.append(token)
                     nodes.append(names[low][own])
             if buckets:
@@ -161,8 +248,8 @@ def _token_rows(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, ROWS)
 
 
-def _details(docs: DataFrame, text_col: str, nodes: DataFrame, columns: str) -> DataFrame:
-    """Once per wanted node: its size and, as ``columns`` says, its bit sketch or its set."""
+def _sets_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """Size and shingles of every wanted node, once."""
     shared = docs.sparkSession.sparkContext.broadcast(bitset(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,17 +257,14 @@ def _details(docs: DataFrame, text_col: str, nodes: DataFrame, columns: str) ->
         for batch in batches:
             seen, names, sizes, data = set(), [], [], []
             for _, hashes, bounds in _sets(batch.column(0)):
-                for lo, hi in zip(bounds[:-1], bounds[1:]):
-                    if hi == lo:
-                        continue
-                    own = hashes[lo:hi]
-                    name = node_of(own)[0]
-                    if name in seen or not may_hold(wanted, np.array([name]))[0]:
-                        continue
-                    seen.add(name)
-                    names.append(name)
-                    sizes.append(int(hi - lo))
-                    data.append(parity(own, sketch_bits(hi - lo)) if columns == "sketch" else own.tobytes())
+                own = [node_of(hashes[lo:hi])[0] if hi > lo else 0 for lo, hi in zip(bounds[:-1], bounds[1:])]
+                hit = may_hold(wanted, np.array(own, dtype=np.int64)) & (np.diff(bounds) > 0)
+                for i in np.flatnonzero(hit):
+                    if own[i] not in seen:
+                        seen.add(own[i])
+                        names.append(own[i])
+                        sizes.append(int(bounds[i + 1] - bounds[i]))
+                        data.append(hashes[bounds[i]:bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
                                              names=["node", "n", "data"])
 
@@ -199,8 +283,7 @@ def _judge(pairs: DataFrame, details: DataFrame, similar) -> DataFrame:
             keep = [similar(x.as_py(), y.as_py(), n, m) for x, y, (n, m) in zip(batch.column(4), batch.column(5), sizes)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").where(
-        F.greatest("n_a", "n_b") * PERCENT <= F.least("n_a", "n_b") * 100)
+    joined = pairs.join(left, "a").join(right, "b")
     return joined.select("a", "b", "n_a", "n_b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
@@ -221,21 +304,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similar, so copies and rows that repeat an id share a component; a null id is passed over where a component
     has another.  An empty table gives an empty one; other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near(a: str, b: str) -> Column:
+    """Sizes that allow similarity, and sketches of 256 bits that do not rule it out."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    odd = sum((F.bit_count(F.col(f"{a}.few")[i].bitwiseXOR(F.col(f"{b}.few")[i])) for i in range(4)), F.lit(0))
+    return (F.greatest(n, m) * PERCENT <= F.least(n, m) * 100) & (odd * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = stage(set_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), ["_id"], "_t"), "sets")
-    classes = stage(rows.where("node is not null").groupBy("node")
-                    .agg(F.min("_id").alias("first"), F.min("mark").alias("low"), F.max("mark").alias("high")), "classes")
+    # rows of a node are alike but for the id
+    classes = stage(rows.where("node is not null").groupBy("node").agg(
+        F.min("_id").alias("first"), F.min("mark").alias("low"), F.max("mark").alias("high"),
+        F.first("n_shingles").alias("n_shingles"), F.first("few").alias("few"), F.first("sketch").alias("sketch")), "classes")
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two different shingle sets have the same 64-bit name; change the constants in node_of")
-    shared = shared_buckets(_token_rows(docs, text_col), "blocks")
-    nodes = stage(shared.where("lead <> node").select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "nodes")
-    sketches = stage(_details(docs, text_col, nodes, "sketch"), "sketches")
+    sketches = classes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))
 
     def links(pairs: DataFrame) -> DataFrame:
         close = stage(_judge(pairs, sketches, _close), "close")
+        if close.isEmpty():
+            return close
         wanted = stage(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        return _judge(close, stage(_details(docs, text_col, wanted, "set"), "members"), _similar)
+        return _judge(close, stage(_sets_of(docs, text_col, wanted), "members"), _similar)
 
-    labels = linked_groups(shared, links, "near")
+    labels = stage_result(docs.sparkSession, "labels", lambda: linked_groups(
+        shared_buckets(_token_rows(docs, text_col), "blocks"), links, "near",
+        classes.select("node", F.struct("n_shingles", "few").alias("traits")), _near))
     named = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = stage(named.join(stage(smallest, "smallest"), "label").select("node", "component_id"), "named")

@@ -43,8 +43,10 @@ def test_table(documents, texts):
     assert got(parity_join.near_duplicates(documents)) == brute(texts)
 
 
-def test_chains_hot_passages_and_sizes(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [2, 10**9])
+def test_chains_hot_passages_and_sizes(spark, monkeypatch, frequent):
     monkeypatch.setattr(groups, "LOCALLY_HOT", 3)
+    monkeypatch.setattr(parity_join, "LEAST_FREQUENT", frequent)
     rng = np.random.default_rng(5)
     word = [f"w{i}" for i in range(3000)]
     texts, n = {}, 0
@@ -153,13 +155,13 @@ def test_shared_buckets_stream(spark, setting, monkeypatch, batch):
 
 def test_linked_groups_compares_across_groups(spark):
     """A link that only two members of a mixed bucket have is found."""
-    import pyarrow as pa  # noqa: F401
-
     near = {(1, 2), (3, 4), (2, 9), (7, 8)}
     shared = spark.createDataFrame([(1, 1, x) for x in range(1, 10)], "bucket LONG, lead LONG, node LONG")
 
     def links(pairs):
         return pairs.where(F.concat_ws(":", "a", "b").isin([f"{a}:{b}" for a, b in near]))
 
-    got_labels = {r.node: r.label for r in groups.linked_groups(shared, links, "t").collect()}
+    traits = spark.range(1, 10).select(F.col("id").alias("node"), F.struct(F.lit(1).alias("n")).alias("traits"))
+    found = groups.linked_groups(shared, links, "t", traits, lambda a, b: F.col(f"{a}.n") == F.col(f"{b}.n"))
+    got_labels = {r.node: r.label for r in found.collect()}
     assert got_labels == {2: 1, 9: 1, 4: 3, 8: 7}
