@@ -298,10 +298,6 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _batch(columns: dict, types: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
     """Per page: id, url, ``text`` of the article and its length ``n_chars`` in code points.
@@ -313,45 +309,35 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Host, article fingerprint and suspect hashes of every page; pages without suspects show up once."""
-        for batch in batches:
-            out = {"host": [], "article": [], "subtree": []}
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tree, article = read_page(page.as_py() or "")
-                mark = xxhash.xxh3_64_intdigest(block_text(article).encode("utf-8", "surrogatepass")) - (1 << 63)
-                for subtree in {0, *(h for h, _ in suspects(tree, article))}:
-                    out["host"].append(host_of(url))
-                    out["article"].append(mark)
-                    out["subtree"].append(subtree)
-            yield _batch(out, {"host": pa.string(), "article": pa.int64(), "subtree": pa.int64()})
-
-    # subtree 0 stands for the page itself and so counts the articles of a host
-    seen = (rows.select("_url", "_html").mapInArrow(judge, "host string, article long, subtree long")
-            .distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
-    seen = stage(seen, "subtrees")
-    hosts = seen.where("subtree = 0").select("host", F.col("n").alias("articles"))
-    templates = (seen.where(f"subtree <> 0 and n >= {int(min_pages)}").join(hosts, "host")
-                 .where(F.col("n") >= F.lit(min_share) * F.col("articles")).groupBy("host")
-                 .agg(F.collect_set("subtree").alias("templates")))
-
-    schema = f"_id {kind}, _url {url_kind}, text string, _html string, host string"
-    types = {"text": pa.string(), "_html": pa.string(), "host": pa.string()}
+    schema = f"_id {kind}, _url {url_kind}, text string, _html string, host string, article long, subtrees array<long>"
+    types = {"text": pa.string(), "_html": pa.string(), "host": pa.string(), "article": pa.int64(), "subtrees": pa.list_(pa.int64())}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text of pages without suspects; the others keep their page for the second look."""
+        """The text of pages without suspects; the others keep their page for a second look."""
         for batch in batches:
-            out = {"text": [], "_html": [], "host": []}
+            out = {name: [] for name in types}
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2)):
                 page = page.as_py() or ""
                 tree, article = read_page(page)
-                doubt = bool(suspects(tree, article))
-                out["text"].append(None if doubt else block_text(article))
-                out["_html"].append(page if doubt else None)
-                out["host"].append(host_of(url) if doubt else None)
+                text, doubts = block_text(article), {h for h, _ in suspects(tree, article)}
+                out["text"].append(None if doubts else text)
+                out["_html"].append(page if doubts else None)
+                out["host"].append(host_of(url))
+                out["article"].append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+                out["subtrees"].append(sorted(doubts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, types[k]) for k, v in out.items())],
                                              names=["_id", "_url", *out])
 
+    looked = stage(rows.mapInArrow(first, schema), "pages")
+    # subtree 0 stands for the page itself and so counts the articles of a host
+    subtrees = F.explode(F.array_union(F.array(F.lit(0).cast("long")), "subtrees")).alias("subtree")
+    seen = stage(looked.select("host", "article", subtrees).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+    hosts = seen.where("subtree = 0").select("host", F.col("n").alias("articles"))
+    templates = (seen.where(f"subtree <> 0 and n >= {int(min_pages)}").join(hosts, "host")
+                 .where(F.col("n") >= F.lit(min_share) * F.col("articles")).groupBy("host")
+                 .agg(F.collect_set("subtree").alias("templates")))
+    templates = stage(templates, "templates")  # so that a host with very many pages can be split in the join
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
@@ -364,7 +350,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts.append(block_text(article))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
-    looked = rows.mapInArrow(first, schema)
     done = looked.where("_html is null").select("_id", "_url", "text")
     doubted = (looked.where("_html is not null").join(templates, "host", "left").select("_id", "_url", "_html", "templates")
                .mapInArrow(second, f"_id {kind}, _url {url_kind}, text string"))
