@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.batches import small_batches, stage_result
 from negmine.llm.bitset import bitset, may_hold
 from negmine.llm.bytehash import Chunk, chunks, mix, span_hash
 from negmine.staging import stage
@@ -35,6 +36,8 @@ LENGTH = 200
 _CUTS = (1, 8, 128)
 # From so many different members of a bucket in one batch on, the rest goes to the next level unasked.
 _MANY = 8
+# Rows compared among themselves at once before they are shuffled.
+_TOGETHER = 100_000
 _ROWS = "bucket long, part long, text long, lo long, hi long, kind int"
 _PLAIN, _RANGE, _DEEPER, _COVERED = 0, 1, 2, 3
 
@@ -134,6 +137,7 @@ def _level_rows(docs: DataFrame, level: int, deeper: list[np.ndarray], length: i
         for batch in batches:
             seen: set[int] = set()
             got: list[tuple] = []
+            held = 0
             for chunk in chunks(batch.column(0)):
                 names = np.zeros(len(chunk), dtype=np.int64)
                 fresh = np.zeros(len(chunk), dtype=bool)
@@ -147,6 +151,10 @@ def _level_rows(docs: DataFrame, level: int, deeper: list[np.ndarray], length: i
                 p = level_parts(chunk, level, shared.value, length)
                 keep = fresh[p.row]
                 got.append((p.bucket[keep].view(np.int64), p.part[keep].view(np.int64), names[p.row[keep]], p.lo[keep], p.hi[keep]))
+                held += int(keep.sum())
+                if held >= _TOGETHER:
+                    yield _combined(*(np.concatenate(x) for x in zip(*got)))
+                    got, held = [], 0
             if got:
                 yield _combined(*(np.concatenate(x) for x in zip(*got)))
 
@@ -265,6 +273,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows with equal texts of that length or more, repeated rows included, lose all.  An empty table gives an empty one;
     other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, id_col, text_col, length)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = stage(_named_rows(base), "texts")
     classes = stage(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"),
@@ -272,9 +285,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two different texts have the same 64-bit name")
     copied = classes.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("text", "n_bytes")
-    spans = (repeated_ranges(base, "_text", length).join(copied, "text", "left_anti")
-             .groupBy("text").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges")))
-    spans = stage(spans, "spans")
+    spans = stage_result(docs.sparkSession, "spans", lambda: (
+        repeated_ranges(base, "_text", length).join(copied, "text", "left_anti")
+        .groupBy("text").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))))
     wanted = docs.sparkSession.sparkContext.broadcast(bitset(spans, "text"))
 
     def affected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
