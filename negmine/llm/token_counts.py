@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from negmine.llm.bpe import DEFAULT, vocabulary
+from negmine.staging import stage
 
 # Lengths per block of the two-level sums; blocks are few, so their totals fit one task.
 _BLOCK = 1024
@@ -53,9 +54,10 @@ def length_table(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     Null lengths are not counted; an empty table gives an empty one.  Only the histogram is shuffled, summed
     in the tasks first; running sums go by blocks of lengths, so no task sees all of them.
     """
-    counts = (lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens"))
+    # written once: both levels of the sums read the histogram, the texts are encoded once
+    counts = stage(lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens"))
               .agg(F.count(F.lit(1)).alias("n_docs"))
-              .withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)))
+              .withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)), "lengths")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
