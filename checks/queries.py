@@ -444,7 +444,7 @@ def knn_blocked(spark, sf):
 
 
 def knn_lsh(spark, sf):
-    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_pivots=16, n_probes=4))
+    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_pivots=16))
 
 
 def knn_lsh_all_cells(spark, sf):
