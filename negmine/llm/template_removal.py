@@ -41,6 +41,11 @@ PART_WORDS = frozenset(
     "disclaimer hidden".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                        "toolbar status".split())
+# Words that add nothing to a name of a part, as in "comment-list".
+PLAIN_WORDS = frozenset("area bar block body box button buttons container content form group header holder inner item items link links list "
+                        "module outer panel post posts section site title wrap wrapper".split())
+# Ids of sections are often made of their headings; inside an article only these are no headings.
+PART_IDS = frozenset("adbox adsense adslot breadcrumb breadcrumbs commentlist comments disqus masthead navbar respond sharebar sidebar".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
 
 _CLOSES = {  # an opening tag ends an open element of these names, up to the next of the bounds
@@ -142,8 +147,18 @@ def _part_words(value: str) -> set[str]:
     return {w.lower() for w in _WORDS.findall(value)}
 
 
+def _known_name(value: str, words: frozenset[str] = PART_WORDS) -> bool:
+    """Whether a class or id is as a whole the name of a page part, and not a slug in which such a word stands."""
+    found = {w.lower() for w in re.findall(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+", value)}
+    return bool(found & words) and found <= words | PLAIN_WORDS
+
+
 def is_page_part(node: Node, in_article: bool) -> bool:
-    """Whether tag, role or class names say that this is no article text."""
+    """Whether tag, role or class names say that this is no article text.
+
+    Inside an article only containers are judged by name, and only by whole known names.  An id of a heading,
+    paragraph or list item never counts, and of other elements only if all of it is a known name.
+    """
     if node.name in DROPPED:
         return True
     if node.name == "header":
@@ -155,8 +170,17 @@ def is_page_part(node: Node, in_article: bool) -> bool:
         return True
     if "display:none" in named.get("style", "").replace(" ", "").lower():
         return True
+    classes, ids = (named.get(key, "").split() for key in ("class", "id"))
+    if node.name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"):
+        ids = []
+    if in_article:
+        if node.name not in CONTAINERS and node.name != "article":
+            return False
+        classes, ids = [w for w in classes if _known_name(w)], [w for w in ids if _known_name(w, PART_IDS)]
+    else:
+        ids = [w for w in ids if _known_name(w)]
     # a name may say both, as in "post has-comments"; what holds the article is no part
-    words = [w for key in ("class", "id") for w in named.get(key, "").split()]
+    words = classes + ids
     plain = set().union(*(_part_words(w) for w in words if not re.match(r"(has|no|with|without|is)[-_]", w))) if words else set()
     return bool(plain & PART_WORDS) and not (plain & {"article", "post", "entry", "story"} and not plain & {
         "comment", "comments", "related", "ad", "ads", "nav", "navigation", "footer", "share", "sidebar", "promo"})

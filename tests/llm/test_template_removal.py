@@ -26,6 +26,16 @@ def test_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><h2 id='side-effects'>Side effects</h2><p>a</p><h2 id='login'>Login</h2><p class='notice-period'>b</p></article>", "Side effects\na\nLogin\nb"),
+    ("<article><section id='related-work'><h2>Related work</h2><p>a</p></section><section id=login><p>b</p></section></article>", "Related work\na\nb"),
+    ("<div id=content><h2 id='hidden-costs'>Hidden costs</h2><div id='cookie-recipes'>a</div></div>", "Hidden costs\na"),
+    ("<article><div class='skip-list-example'>a</div><div class='related-posts'>x</div><div class='commentList'>x</div><div id=comments>x</div></article>", "a"),
+])
+def test_names_made_of_headings_are_no_page_parts(page, want):
+    assert text(page) == want
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING, host STRING, text INT").repartition(3)
 
