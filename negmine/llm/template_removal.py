@@ -1,10 +1,10 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 A page is read into a small element tree.  What its tags, roles and class names
-already mark as menu, notice, form and the like goes first.  Then every container
-that is left is hashed with all it holds; a container whose hash recurs on many
-different pages of the host is template and goes too.  Only hashes are shuffled;
-pages meet their host's templates only if one of their own containers is in doubt.
+already mark as menu, notice, form and the like goes first.  Then every block
+element that is left, of any size and at any place, is hashed with all it holds; one
+whose hash recurs on different articles of the host is template and goes too.  Only
+hashes are shuffled; pages meet their host's templates only if they may hold one.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.bitset import bitset, may_hold
 from negmine.staging import stage
 
 # Element names of HTML by their part in a page, and words by which sites name their page parts.
@@ -48,6 +50,9 @@ PLAIN_WORDS = frozenset("area bar block body box button buttons container conten
 PART_IDS = frozenset("adbox adsense adslot breadcrumb breadcrumbs commentlist comments disqus masthead navbar respond sharebar sidebar".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
 
+# From so many words on a text does not recur by chance.
+CHANCE_WORDS = 5
+
 _CLOSES = {  # an opening tag ends an open element of these names, up to the next of the bounds
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -247,43 +252,14 @@ def _under(node: Node, above: Node) -> bool:
     return False
 
 
-def subtree_hash(node: Node) -> int:
-    """Hash of an element with all it holds: names, links and text, white space evened out."""
-    h = xxhash.xxh3_64()
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            h.update(_SPACE.sub(" ", x).strip().encode("utf-8", "surrogatepass") + b"\0")
-        else:
-            h.update(b"<" + x.name.encode("utf-8", "surrogatepass") + b">")
-            stack.append("</")
-            stack.extend(reversed(x.parts))
-    return h.intdigest() - (1 << 63)
+def read_blocks(article: Node) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
+    """Text by blocks, and the block elements that hold any: hash, first block, block after the last, mostly links, container.
 
-
-def suspects(page: Node, article: Node) -> list[tuple[int, Node]]:
-    """Containers of the article part that may be template: all that do not hold most of the text.
-
-    In an element that is marked as article, a container counts only if it is mostly links; lists, tables and
-    quotes that an author wrote stay, however many copies of the article the host has.
+    References are decoded and white space is evened out.  The hash is of names and text of all that the element holds.
     """
-    total, sure, out = size(article), article.name in ("article", "main"), []
-    for node in article.nodes():
-        if node.name not in CONTAINERS or node.name == "span":
-            continue
-        own = size(node)
-        if own == 0 or 2 * own > total:
-            continue
-        if sure and 2 * sum(size(a) for a in node.nodes() if a.name == "a") <= own:
-            continue
-        out.append((subtree_hash(node), node))
-    return out
-
-
-def block_text(node: Node) -> str:
-    """Text by blocks: references decoded, white space evened out, blocks joined by a line feed."""
-    blocks, line = [], []
+    blocks: list[str] = []
+    line: list[str] = []
+    parts: list[tuple[int, int, int, bool, bool]] = []
 
     def flush():
         text = _SPACE.sub(" ", "".join(line)).strip()
@@ -291,22 +267,74 @@ def block_text(node: Node) -> str:
         if text:
             blocks.append(text)
 
-    stack: list[Node | str | None] = [node]
-    while stack:
-        x = stack.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
+    # an open element: its node, what is left of it, first block, hashes of its parts, characters of text and of links
+    frames = [[article, iter(article.parts), 0, [], 0, 0]]
+    while frames:
+        frame = frames[-1]
+        x = next(frame[1], None)
+        if isinstance(x, str):
             line.append(entities.unescape(x))
-        elif x.name == "br":
+            plain = _SPACE.sub(" ", x).strip()
+            if plain:
+                frame[3].append(plain.encode("utf-8", "surrogatepass"))
+                frame[4] += len(plain)
+        elif x is not None and x.name == "br":
             line.append(" ")
-        else:
+            frame[3].append(b"<br>")
+        elif x is not None:
             if x.name in BLOCK:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(x.parts))
-    flush()
-    return "\n".join(blocks)
+            frames.append([x, iter(x.parts), len(blocks), [], 0, 0])
+        else:
+            node, _, first, held, size, links = frames.pop()
+            if node.name in BLOCK or node is article:
+                flush()
+            if node.name == "a":
+                links = size
+            digest = xxhash.xxh3_64(b"<" + node.name.encode("utf-8", "surrogatepass") + b">")
+            for h in held:
+                digest.update(len(h).to_bytes(8, "little") + h)
+            if frames:
+                above = frames[-1]
+                above[3].append(b"\0" + digest.digest())
+                above[4] += size
+                above[5] += links
+                if node.name in BLOCK and len(blocks) > first:
+                    parts.append((digest.intdigest() - (1 << 63), first, len(blocks), 2 * links > size, node.name in CONTAINERS))
+    return blocks, parts
+
+
+def suspects(article: Node, blocks: list[str], parts: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, int, int]]:
+    """(hash, article, first block, block after the last) of the elements that are template if they recur.
+
+    The article is told by the three longest blocks outside the element, so copies of an article, exact or near, are one
+    article.  Few words recur by chance: texts of less than ``CHANCE_WORDS`` words count only in containers, and inside
+    an element that is marked as article only if they are mostly links.
+    """
+    sure, out = article.name in ("article", "main"), []
+    ranked = sorted(range(len(blocks)), key=lambda i: (-len(blocks[i]), i))
+    known: dict[tuple[int, ...], int] = {}
+    for h, first, end, links, container in parts:
+        few = sum(len(blocks[i].split(" ", CHANCE_WORDS)) for i in range(first, min(end, first + CHANCE_WORDS))) < CHANCE_WORDS
+        if few and not (container and (links or not sure)):
+            continue
+        outside = []
+        for i in ranked:
+            if not first <= i < end:
+                outside.append(i)
+                if len(outside) == 3:
+                    break
+        if outside:
+            key = tuple(outside)
+            if key not in known:
+                known[key] = xxhash.xxh3_64_intdigest("\n".join(blocks[i] for i in key).encode("utf-8", "surrogatepass")) - (1 << 63)
+            out.append((h, known[key], first, end))
+    return out
+
+
+def block_text(node: Node) -> str:
+    """Text by blocks: references decoded, white space evened out, blocks joined by a line feed."""
+    return "\n".join(read_blocks(node)[0])
 
 
 def read_page(page: str) -> tuple[Node, Node]:
@@ -323,60 +351,72 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+              min_pages: int = 5) -> DataFrame:
     """Per page: id, url, ``text`` of the article and its length ``n_chars`` in code points.
 
-    A container is template if it recurs on at least ``min_pages`` different articles of the host and on at least
-    ``min_share`` of them; copies of one article count once.  A null or empty page has an empty text; a null url is
+    A block element is template if it recurs on at least ``min_pages`` different articles of the host, however many
+    the host has; copies of one article count once.  A null or empty page has an empty text; a null url is
     a host of its own without a name.  Repeated rows give repeated results; other columns are not read.
     """
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
 
-    schema = f"_id {kind}, _url {url_kind}, text string, _html string, host string, article long, subtrees array<long>"
-    types = {"text": pa.string(), "_html": pa.string(), "host": pa.string(), "article": pa.int64(), "subtrees": pa.list_(pa.int64())}
+    schema = f"_id {kind}, _url {url_kind}, blocks array<string>, host string, subtrees array<long>, articles array<long>, firsts array<int>, ends array<int>"
+    types = {"blocks": pa.list_(pa.string()), "host": pa.string(), "subtrees": pa.list_(pa.int64()), "articles": pa.list_(pa.int64()),
+             "firsts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The text of pages without suspects; the others keep their page for a second look."""
         for batch in batches:
             out = {name: [] for name in types}
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2)):
-                page = page.as_py() or ""
-                tree, article = read_page(page)
-                text, doubts = block_text(article), {h for h, _ in suspects(tree, article)}
-                out["text"].append(None if doubts else text)
-                out["_html"].append(page if doubts else None)
-                out["host"].append(host_of(url))
-                out["article"].append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                out["subtrees"].append(sorted(doubts))
+                _, article = read_page(page.as_py() or "")
+                blocks, parts = read_blocks(article)
+                host = host_of(url)
+                # the name of a subtree holds the host
+                salt = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
+                found = [(h ^ salt, *rest) for h, *rest in suspects(article, blocks, parts)]
+                out["blocks"].append(blocks)
+                out["host"].append(host)
+                for k, name in enumerate(("subtrees", "articles", "firsts", "ends")):
+                    out[name].append([x[k] for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, types[k]) for k, v in out.items())],
                                              names=["_id", "_url", *out])
 
     looked = stage(rows.mapInArrow(first, schema), "pages")
-    # subtree 0 stands for the page itself and so counts the articles of a host
-    subtrees = F.explode(F.array_union(F.array(F.lit(0).cast("long")), "subtrees")).alias("subtree")
-    seen = stage(looked.select("host", "article", subtrees).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")), "subtrees")
-    hosts = seen.where("subtree = 0").select("host", F.col("n").alias("articles"))
-    templates = (seen.where(f"subtree <> 0 and n >= {int(min_pages)}").join(hosts, "host")
-                 .where(F.col("n") >= F.lit(min_share) * F.col("articles")).groupBy("host")
-                 .agg(F.collect_set("subtree").alias("templates")))
-    templates = stage(templates, "templates")  # so that a host with very many pages can be split in the join
+    seen = (looked.select("host", F.explode(F.arrays_zip("subtrees", "articles")).alias("x"))
+            .select("host", F.col("x.subtrees").alias("subtree"), F.col("x.articles").alias("article")).distinct())
+    templates = stage(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(min_pages))
+                      .select("host", "subtree"), "subtrees")
+    known = pages.sparkSession.sparkContext.broadcast(bitset(templates, "subtree"))
+    # so that a host with very many pages can be split in the join
+    by_host = stage(templates.groupBy("host").agg(F.collect_set("subtree").alias("templates")), "templates")
+    looked_at = looked.schema
+
+    def some(wanted: bool):
+        """The pages that may hold a template, or the others."""
+        place = looked_at.names.index("subtrees")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(place)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+                hit = np.zeros(len(lists), dtype=bool)
+                hit[row[may_hold(known.value, lists.flatten().to_numpy())]] = True
+                yield batch.filter(pa.array(hit if wanted else ~hit))
+
+        return looked.mapInArrow(run, looked_at)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, known in zip(batch.column(2), batch.column(3).to_pylist()):
-                tree, article = read_page(page.as_py())
-                known = set(known or ())
-                for h, node in suspects(tree, article):
-                    if h in known:
-                        node.name, node.parts = "p", []
-                texts.append(block_text(article))
+            for blocks, subtrees, firsts, ends, templates in zip(*(batch.column(k).to_pylist() for k in range(2, 7))):
+                templates = set(templates or ())
+                gone = {i for h, a, z in zip(subtrees, firsts, ends) if h in templates for i in range(a, z)}
+                texts.append("\n".join(x for i, x in enumerate(blocks) if i not in gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
-    done = looked.where("_html is null").select("_id", "_url", "text")
-    doubted = (looked.where("_html is not null").join(templates, "host", "left").select("_id", "_url", "_html", "templates")
+    done = some(False).select("_id", "_url", F.concat_ws("\n", "blocks").alias("text"))
+    doubted = (some(True).join(by_host, "host", "left").select("_id", "_url", "blocks", "subtrees", "firsts", "ends", "templates")
                .mapInArrow(second, f"_id {kind}, _url {url_kind}, text string"))
     return done.unionByName(doubted).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text",
                                             F.length("text").cast("long").alias("n_chars"))
-

@@ -66,6 +66,25 @@ def test_links_inside_an_article(spark):
         assert "author" not in r.text and r.text.endswith("fact one")
 
 
+def test_any_element_that_recurs(spark):
+    """A box longer than the article, a notice in text inside it, on few pages of a large host; quoted facts and near copies stay."""
+    box = "<div>" + "our terms of use apply to all that you read here " * 8 + "</div>"
+    note = "<p>Please support our work with a small gift today</p>"
+    rows = []
+    for i in range(100):
+        own = f"<p>Short story {i} with {i * 7} words</p><p>and a second part {i}</p>"
+        extra = "" if i >= 6 else note
+        rows.append((i, f"http://a.example/{i}", f"<article>{own}{extra}<ul><li>fact one</li></ul></article>", None, None))
+        rows.append((1000 + i, f"http://b.example/{i}", (box if i < 6 else "") + own, None, None))
+    copy = "".join(f"<p>paragraph {j} of a text that has near copies</p>" for j in range(9))
+    rows += [(2000 + i, f"http://c.example/{i}", f"<article>{copy}<p>seen {i} times</p></article>", None, None) for i in range(8)]
+    got = {r.page_id: r.text for r in tr.main_text(pages(spark, rows)).collect()}
+    for i in range(100):
+        assert got[i] == f"Short story {i} with {i * 7} words\nand a second part {i}\nfact one"
+        assert got[1000 + i] == f"Short story {i} with {i * 7} words\nand a second part {i}"
+    assert all(got[2000 + i].count("near copies") == 9 for i in range(8))
+
+
 def test_messy(spark):
     rows = [(1, None, None, None, None), (None, "http://x.example/", "", None, None), (2, "::bad url[", "<p>a</p>", None, None), (2, "::bad url[", "<p>a</p>", None, None)]
     got = tr.main_text(pages(spark, rows))
