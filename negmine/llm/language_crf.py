@@ -130,20 +130,25 @@ def _read(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[Chunk, np
 
 def language_sums(model: Crf, column: pa.Array) -> np.ndarray:
     """Per text the summed probabilities of its words; all zero without words."""
+    return _sums(model, column)[:, :-1]
+
+
+def _sums(model: Crf, column: pa.Array) -> np.ndarray:
+    """As ``language_sums``, and last the sum over the words of the largest probability."""
     if not model.labels:
-        return np.zeros((len(column), 0))
+        return np.zeros((len(column), 1))
     out = []
     for chunk, starts, ends, rows, words in _read(column):
         if not len(words):
-            out.append(np.zeros((len(chunk), len(model.labels))))
+            out.append(np.zeros((len(chunk), len(model.labels) + 1)))
             continue
         different, first, back = np.unique(words, return_index=True, return_inverse=True)
         features, owner = word_features(chunk.prefix_hash(), starts[first], ends[first])
         emission = emissions(model, features, owner, lexicon_rows(model.lexicon, different))[back]
         chain, place = chains(rows)
         marginal, _ = forward_backward(model, emission, chain, place)
-        out.append(np.stack([np.bincount(rows, marginal[:, j], len(chunk)) for j in range(len(model.labels))], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, len(model.labels)))
+        out.append(np.stack([np.bincount(rows, p, len(chunk)) for p in (*marginal.T, marginal.max(1))], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, len(model.labels) + 1))
 
 
 def fit_crf(texts: list[str], langs: list[str], labels: list[str], lexicon_size: int = 2000, epochs: int = 2,
@@ -245,39 +250,45 @@ def learn(docs: DataFrame, max_rows: int = 2400, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text",
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, sure_col: str | None = None) -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred`` and ``score``, the mean probability of that language over the words.
 
+    ``sure_col`` names a further column: the mean over the words of the probability of each word's own best language,
+    which is high for a text in several known languages too.
     A null text or one without a letter is ``und`` with score 0, and so is every text if no language was learned.
     Ties go to the first language by name.  Rows with a null id are not held out.  Columns of ``keep`` are carried
     along after the id, but for those with the name of a result; no other column is read.
     """
     labels = model.labels
-    keep = [k for k in keep or [] if k not in (id_col, "held_out", "lang_pred", "score")]
+    keep = [k for k in keep or [] if k not in (id_col, "held_out", "lang_pred", "score", sure_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            sums = language_sums(model, column)
+            sums = _sums(model, column)
+            sums, best_sums = sums[:, :-1], sums[:, -1]
             total = sums.sum(1) if len(labels) else np.zeros(len(column))
             best = sums.argmax(1) if len(labels) else np.zeros(len(column), int)
-            langs, scores = [], []
+            langs, scores, sure = [], [], []
             for i, all_words in enumerate(total):
                 if all_words > 0 and _has_letter(column, i):
                     langs.append(labels[best[i]])
                     scores.append(min(1.0, float(sums[i, best[i]] / all_words)))
+                    sure.append(min(1.0, float(best_sums[i] / all_words)))
                 else:
                     langs.append("und")
                     scores.append(0.0)
+                    sure.append(0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=["_id", "_rest", "lang_pred", "score"])
+                [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],
+                names=["_id", "_rest", "lang_pred", "score", "_sure"])
 
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        F.struct(*keep, F.lit(0).alias("_none")).alias("_rest"))
-    out = base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _rest {base.schema['_rest'].dataType.simpleString()}, lang_pred string, score double")
+    out = base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _rest {base.schema['_rest'].dataType.simpleString()}, lang_pred string, score double, _sure double")
     return out.select(F.col("_id").alias(id_col), *(F.col("_rest")[k].alias(k) for k in keep),
-                      F.coalesce(~training_side("_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+                      F.coalesce(~training_side("_id"), F.lit(False)).alias("held_out"), "lang_pred", "score",
+                      *([F.col("_sure").alias(sure_col)] if sure_col else []))
 
 
 def _has_letter(column: pa.Array, i: int) -> bool:
