@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings, by bucket-pointer refinement over sampled suffixes.
+"""Removal of long repeated byte strings, by window hashes over sampled positions.
 
 A suffix array of every byte position is not needed to know which strings of
 ``LENGTH`` bytes occur twice.  Positions are sampled so that every such string holds
@@ -7,8 +7,9 @@ Sampled positions fall into buckets by their q-gram.  Around a position lie SPAN
 strings that hold it; a bucket's members are split by the bytes of all those strings
 together.  Members that agree are repeated there as a whole.  Where a bucket has
 members that do not, the range of strings is cut into parts, each part's common bytes
-give the bucket pointer at a later (or earlier) offset, and the same step is repeated
-on these smaller buckets, down to single strings.  Only buckets with members that
+are hashed anew and name its bucket, and the same step is repeated on these smaller
+buckets, down to single strings.  This replaces bucket-pointer refinement: no bucket
+name of another offset enters a key, so none has to be joined.  Only buckets with members that
 differ are refined, so each level handles little more than the ends of matches.
 Buckets are named by 64-bit hashes and their parts by others of a second kind; no text is
 shuffled for that.
