@@ -57,4 +57,34 @@ first AS (SELECT reach.x AS r, min(d.doc_id) AS component_id FROM reach JOIN doc
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM doc LEFT JOIN size USING (r) JOIN first USING (r)
 """
 
-ORACLE = {"op2_decontamination": _DECONTAMINATION, "op3_repeats": _REPEATS, "op7_parity_join": _NEAR}
+_DIVERGENCE = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+word AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+cell AS (SELECT lang, source, term, count(*) AS n FROM word GROUP BY lang, source, term),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n
+          FROM grp g JOIN kept k ON g.lang = k.lang LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+priced AS (
+  SELECT d.*, 1 + (1000000000::HUGEINT * (d.n + 5)) // (sum(d.n) OVER (PARTITION BY d.lang, d.source) + 5 * s.v) AS p,
+         1 + (1000000000::HUGEINT * (d.all_n + 5)) // (s.total + 5 * s.v) AS q
+  FROM dense d JOIN size s ON d.lang = s.lang),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN priced y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL
+  GROUP BY a.lang, a.source, b.source),
+part AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM priced WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM part)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE = {"op11_divergence": _DIVERGENCE, "op2_decontamination": _DECONTAMINATION, "op3_repeats": _REPEATS, "op7_parity_join": _NEAR}

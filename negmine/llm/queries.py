@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from negmine.llm import (bpe, decontaminate, language_crf, line_dedup, parity_join, quality_gam, repeats, risk_rules, template_removal,
-                         token_counts)
+from negmine.llm import (bpe, decontaminate, divergence, language_crf, line_dedup, parity_join, period_runs, quality_gam, repeats,
+                         risk_rules, template_removal, token_counts)
 from negmine.shipping import ship
 
 
@@ -58,5 +58,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = period_runs.with_periods(_table(spark, sf_dir, "documents"))
+    return period_runs.digests(period_runs.collapse_runs(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op5_line_dedup, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe)}
+    op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op5_line_dedup, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe,
+    op11_divergence, op13_period_runs)}
