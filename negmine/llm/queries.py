@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from negmine.llm import (bpe, decontaminate, divergence, language_crf, line_dedup, parity_join, period_runs, quality_gam, repeats,
-                         risk_rules, template_removal, token_counts)
+                         risk_rules, sharding, template_removal, token_counts)
 from negmine.shipping import ship
 
 
@@ -62,6 +62,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = period_runs.with_periods(_table(spark, sf_dir, "documents"))
     return period_runs.digests(period_runs.collapse_runs(docs))
@@ -69,4 +73,4 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_template_removal, op2_decontamination, op3_repeats, op4_token_counts, op5_line_dedup, op6_quality, op7_parity_join, op8_language, op9_rules, op10_bpe,
-    op11_divergence, op13_period_runs)}
+    op11_divergence, op12_sharding, op13_period_runs)}
