@@ -444,12 +444,18 @@ def knn_blocked(spark, sf):
 
 
 def knn_lsh(spark, sf):
-    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_pivots=16))
+    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10))
 
 
 def knn_lsh_all_cells(spark, sf):
-    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_pivots=16, n_probes=16,
-                               cell_rows=20, cell_queries=100))
+    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_cells=16, n_probes=16,
+                               code_bytes=0, block_docs=20, block_queries=100))
+
+
+def knn_cells(spark, sf):
+    """Four of sixteen cells around the vectors of smallest md5, documents in their two nearest."""
+    return _ranked(knn.knn_lsh(fx.vector_queries(spark, sf), fx.vectors(spark, sf), 10, n_cells=16, n_probes=4,
+                               rounds=0, code_bytes=0, boundary=1e9))
 
 
 def score_pairs(spark, sf):
@@ -489,6 +495,6 @@ REGISTERED = {
     "score_samples": score_samples, "distillation_rows": distillation_rows,
     "distillation_rows_k3": distillation_rows_k3, "skipped_samples": skipped_samples,
     "encode": encode, "l2_normalize": l2_normalize_vectors, "inner_product": inner_product_next,
-    "knn_blocked": knn_blocked, "knn_lsh": knn_lsh, "knn_lsh_all_cells": knn_lsh_all_cells,
+    "knn_blocked": knn_blocked, "knn_lsh": knn_lsh, "knn_lsh_all_cells": knn_lsh_all_cells, "knn_cells": knn_cells,
     "score_pairs": score_pairs, "generate_queries": generate_queries,
 }

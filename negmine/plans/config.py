@@ -21,6 +21,7 @@ class RunConfig:
     max_doc_chars: int = c.MAX_DOC_CHARS
     mined_negatives: int = c.NEGATIVES_PER_QUERY
     miner: str = "bm25"                  # "bm25" or "semantic"
+    semantic_search: str = "block"       # "block": exact; "lsh": approximate, by a trained index
     scoring_max_negatives: int = c.SCORED_NEGATIVES
     scoring_batch_size: int = 4
     num_negatives: int = c.NEGATIVES_PER_ROW
@@ -57,4 +58,6 @@ def merge_config(user: dict | None = None) -> RunConfig:
         raise ValueError("input_type must be 'jsonl' or 'table'")
     if config.miner not in ("bm25", "semantic"):
         raise ValueError("miner must be 'bm25' or 'semantic'")
+    if config.semantic_search not in ("block", "lsh"):
+        raise ValueError("semantic_search must be 'block' or 'lsh'")
     return config

@@ -140,10 +140,10 @@ def run(spark: SparkSession, config: RunConfig, out: str, make_generator=None, m
 
     def negatives():
         if config.miner == "semantic":
-            return mine_semantic_negatives(pairs, corpus, make_encoder, config.mined_negatives)
+            return mine_semantic_negatives(pairs, corpus, make_encoder, config.mined_negatives, config.semantic_search)
         return mine_bm25_negatives(pairs, corpus, config.mined_negatives, pad_zero=config.pad_zero)
 
-    mined = steps.step("negatives", of("miner", "mined_negatives", "pad_zero"), negatives, may_be_empty=True)
+    mined = steps.step("negatives", of("miner", "mined_negatives", "pad_zero", "semantic_search"), negatives, may_be_empty=True)
     # texts that nobody scores are not fetched, unless the samples themselves are asked for
     used = mined if config.write_lines else mined.filter(F.col("rank") <= config.scoring_max_negatives)
     samples = steps.step("samples", of("write_lines", "scoring_max_negatives"), lambda: training_samples(pairs, used, corpus))
