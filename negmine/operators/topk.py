@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from negmine.constants import SCORE_DECIMALS
@@ -57,16 +58,26 @@ def pays_to_seed(n_tasks: int, n_queries: int, k: int) -> bool:
     return n_tasks > SEED_SLICES and n_tasks * n_queries * k > SEED_CANDIDATES
 
 
-def slice_floors(found: DataFrame, n_queries: int, k: int) -> Floors:
-    """The k-th best per query (``qi, doc_idx, score``) over some of the documents.
+def slice_floors(found: DataFrame, k: int) -> DataFrame:
+    """``qi, floor, floor_doc``: the k-th best per query (``qi, doc_idx, score``) over some of the documents.
 
     The k-th best of some never ranks before the k-th best of all, so dropping
-    what ranks behind it loses nothing.  At most one row per query of a batch.
+    what ranks behind it loses nothing.
     """
-    kth = rank_candidates(found, k, "qi").filter(F.col("rank") == k).toPandas()
-    floors, at = Floors.none(n_queries), kth["qi"].to_numpy(int)
-    floors.scores[at], floors.docs[at] = kth["score"].to_numpy(), kth["doc_idx"].to_numpy()
-    return floors
+    kth = rank_candidates(found, k, "qi").filter(F.col("rank") == k)
+    return kth.select("qi", F.col("score").alias("floor"), F.col("doc_idx").alias("floor_doc"))
+
+
+def with_floors(queries: DataFrame, floors: DataFrame | None) -> DataFrame:
+    """Queries with ``floor`` and ``floor_doc``; null where nothing is known."""
+    if floors is None:
+        return queries.withColumn("floor", F.lit(None).cast("double")).withColumn("floor_doc", F.lit(None).cast("long"))
+    return queries.join(floors, "qi", "left")
+
+
+def block_floors(block: pa.RecordBatch) -> Floors:
+    return Floors(block.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(float),
+                  block.column("floor_doc").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 class BestSoFar:
@@ -129,15 +140,36 @@ class BestSoFar:
         return {"qi": queries, "doc_idx": self._docs[queries, places], "score": self._scores[queries, places]}
 
 
-def named_topk(found: DataFrame, query_ids: list[str], k: int) -> DataFrame:
+def named_topk(found: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """``query_id, doc_idx, score, rank`` from the ``qi, doc_idx, score`` of all tasks.
 
-    Ids of the batch are put back after ranking, on k rows per query.
+    ``names`` (``qi, query_id``) puts the ids back after ranking, on k rows per query.
+    """
+    return rank_candidates(found, k, "qi").join(names, "qi").select("query_id", "doc_idx", "score", "rank")
+
+
+def over_blocks(chunks: Iterator, blocks, n_results: int, most_results: int, k: int, offer) -> Iterator[pd.DataFrame]:
+    """Run every chunk of documents of a task past every block of queries.
+
+    ``blocks()`` gives (numbers of the queries, what they ask, floors); ``offer(best, asked, chunk)`` scores.  If all
+    results fit into ``most_results`` each block keeps its best of the whole task; else it gives them up after each chunk.
     """
-    names = found.sparkSession.createDataFrame(
-        pd.DataFrame({"qi": np.arange(len(query_ids)), "query_id": np.array(query_ids, dtype=object)}),
-        "qi LONG, query_id STRING")
-    return rank_candidates(found, k, "qi").join(F.broadcast(names), "qi").select("query_id", "doc_idx", "score", "rank")
+    kept: dict[int, tuple[np.ndarray, BestSoFar]] = {}
+    for chunk in chunks:
+        for i, (numbers, asked, floors) in enumerate(blocks()):
+            best = kept[i][1] if i in kept else BestSoFar(len(numbers), k, floors)
+            offer(best, asked, chunk)
+            if n_results <= most_results:
+                kept[i] = numbers, best
+            else:
+                yield _numbered(numbers, best)
+    for numbers, best in kept.values():
+        yield _numbered(numbers, best)
+
+
+def _numbered(numbers: np.ndarray, best: BestSoFar) -> pd.DataFrame:
+    found = best.result()
+    return pd.DataFrame({**found, "qi": numbers[found["qi"]]})
 
 
 def query_batches(df: DataFrame, n_batches: int) -> Iterator[DataFrame]:
