@@ -116,6 +116,12 @@ class BestSoFar:
         if ahead.any():
             self._merge(queries, rows[ahead], ids[ahead], values[ahead])
 
+    def add_found(self, rows: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
+        """Offer single results (query, document, rounded score), many at a time."""
+        queries, at = np.unique(rows, return_inverse=True)
+        if len(queries):
+            self._merge(queries, at, docs, scores)
+
     def _merge(self, queries: np.ndarray, rows, docs, scores) -> None:
         """Best k of what these queries hold and what is offered."""
         held = self._scores[queries]
