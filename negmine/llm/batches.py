@@ -26,6 +26,13 @@ def small_batches(spark: SparkSession, rows: int = 2000):
             spark.conf.set(_KEY, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For results that are computed after the call returns: lower the session's limit of rows a batch, and leave it so."""
+    now = int(spark.conf.get(_KEY, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(_KEY, str(rows))
+
+
 def stage_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Write what ``make`` returns and delete what it staged on the way."""
     path = new_stage_path(spark, name)

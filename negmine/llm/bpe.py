@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.batches import bound_batches
+
 # How many different pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 
 
 class PerfectHash:
@@ -183,6 +185,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated results, a null id stays null.  Other columns of ``docs`` are not read.
     """
     find = vocab or vocabulary(DEFAULT)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(*find())

@@ -8,35 +8,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from negmine.llm.bpe import DEFAULT, vocabulary
+from negmine.llm.bpe import DEFAULT, REMEMBERED, Codec, load_codec, vocabulary
+from negmine.llm.batches import bound_batches
 from negmine.staging import stage
 
 # Lengths per block of the two-level sums; blocks are few, so their totals fit one task.
 _BLOCK = 1024
-_encoders: dict = {}
 
 
-def _encoder(path: str, pattern: str):
-    if path not in _encoders:
-        import base64
+class _Lengths(dict):
+    """Number of ids of a pre-token, worked out at the first look."""
 
-        import tiktoken
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        _encoders[path] = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = n = len(self.codec.pre_token(word))
+        return n
+
+
+_known: dict[str, _Lengths] = {}
+
+
+def _lengths(path: str, pattern: str) -> _Lengths:
+    if path not in _known:
+        _known[path] = _Lengths(load_codec(path, pattern))
+    return _known[path]
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   vocab: Callable[[], tuple[str, str]] | None = None) -> DataFrame:
-    """Encoded length of every text; null counts 0. One row per row."""
+    """Encoded length of every text, of any length; null counts 0. One row per row."""
+    bound_batches(docs.sparkSession)
     find = vocab or vocabulary(DEFAULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(*find()).encode_ordinary
+        known = _lengths(*find())
         for batch in batches:
-            lengths = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(1))]
+            lengths = [sum(map(known.__getitem__, known.codec.split(t))) if t else 0 for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())],
                                              names=["id", "n_tokens"])
 

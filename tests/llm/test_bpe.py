@@ -80,3 +80,10 @@ def test_length_table(spark, messy, nothing, public, monkeypatch):
     half = token_counts.quantile_lengths(table, [0.5]).first()
     assert half.n_tokens == next(x for x in lengths if 2 * sum(y <= x for y in lengths) >= len(lengths))
     assert token_counts.length_table(token_counts.token_lengths(nothing)).count() == 0
+
+
+def test_lengths_of_very_long_texts(spark, codec):
+    texts = [" " * 1_000_000, "a" * 300_000, "word " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(docs).collect()}
+    assert got == {i: len(codec.encode(t)) for i, t in enumerate(texts)}
