@@ -193,8 +193,20 @@ def is_page_part(node: Node, in_article: bool) -> bool:
 
 def clean(root: Node) -> None:
     """Take out what is marked as no article text, unless the article is inside it."""
+    whole = size(root)
+
     def holds_article(node: Node) -> bool:
-        return any(x.name in ("article", "main") and not _marked(x) for x in node.nodes())
+        own = None
+        for x in node.nodes():
+            if x.name in ("article", "main") and not _marked(x):
+                return True
+            # the part of a layout that is named as content and holds most of it
+            if x.name in ("div", "section", "td") and x.attributes and _part_words(" ".join(x.named().get(k, "") for k in ("class", "id"))) & MAIN_WORDS and not _marked(x):
+                own = size(node) if own is None else own
+                if 0 < own < 2 * size(x):
+                    return True
+        # whole pages stand in one form where servers keep their state in it
+        return node.name == "form" and 2 * size(node) > whole
 
     stack = [(root, False)]
     while stack:
@@ -204,7 +216,7 @@ def clean(root: Node) -> None:
         kept = []
         for x in node.parts:
             if isinstance(x, Node):
-                if is_page_part(x, inside) and (inside or x.name in DROPPED or not holds_article(x)):
+                if is_page_part(x, inside) and (inside or x.name in DROPPED and x.name != "form" or not holds_article(x)):
                     kept.append(" " if x.name not in BLOCK else Node("p", "", node))
                     continue
                 stack.append((x, inside))
@@ -382,16 +394,27 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, types[k]) for k, v in out.items())],
                                              names=["_id", "_url", *out])
 
-    looked = stage(rows.mapInArrow(first, schema), "pages")
+    looked = stage(rows.mapInArrow(first, schema).withColumn("_row", F.monotonically_increasing_id()), "pages")
     seen = (looked.select("host", F.explode(F.arrays_zip("subtrees", "articles")).alias("x"))
             .select("host", F.col("x.subtrees").alias("subtree"), F.col("x.articles").alias("article")).distinct())
     templates = stage(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(min_pages))
                       .select("host", "subtree"), "subtrees")
     known = pages.sparkSession.sparkContext.broadcast(bitset(templates, "subtree"))
-    # so that a host with very many pages can be split in the join
-    by_host = stage(templates.groupBy("host").agg(F.collect_set("subtree").alias("templates")), "templates")
     looked_at = looked.schema
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, subtree) of all subtrees that may be templates."""
+        for batch in batches:
+            lists = batch.column(1)
+            row = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().fill_null(0).to_numpy())
+            subtree = lists.flatten().to_numpy()
+            hit = may_hold(known.value, subtree)
+            yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(subtree[hit])], names=["_row", "subtree"])
+
+    # a page meets only the templates among its own subtrees, whose names hold the host; one on very many pages is split by AQE
+    own = (looked.select("_row", "subtrees").mapInArrow(asked, "_row long, subtree long").join(templates.select("subtree").distinct(), "subtree", "left_semi")
+           .groupBy("_row").agg(F.collect_set("subtree").alias("templates")))
+
     def some(wanted: bool):
         """The pages that may hold a template, or the others."""
         place = looked_at.names.index("subtrees")
@@ -416,7 +439,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
     done = some(False).select("_id", "_url", F.concat_ws("\n", "blocks").alias("text"))
-    doubted = (some(True).join(by_host, "host", "left").select("_id", "_url", "blocks", "subtrees", "firsts", "ends", "templates")
+    doubted = (some(True).join(own, "_row", "left").select("_id", "_url", "blocks", "subtrees", "firsts", "ends", "templates")
                .mapInArrow(second, f"_id {kind}, _url {url_kind}, text string"))
     return done.unionByName(doubted).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text",
                                             F.length("text").cast("long").alias("n_chars"))

@@ -36,6 +36,27 @@ def test_names_made_of_headings_are_no_page_parts(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><form id=f action=x><div class='menu'>home news</div><div><h1>Title</h1><p>first words of the text</p><p>and the rest of it</p></div></form></body>",
+     "Title\nfirst words of the text\nand the rest of it"),
+    ("<form><input><main><p>kept</p></main></form>", "kept"),
+    ("<div class='layout sidebar-right'><div class='content'><p>the article of this page</p></div><div class='sidebar'>side</div></div>", "the article of this page"),
+    ("<main><p>a text that is long enough</p><form><p>your name</p><button>send</button></form></main>", "a text that is long enough"),
+    ("<p>a text that is long enough to be most of it</p><form><label>search</label><input></form>", "a text that is long enough to be most of it"),
+    ("<div class='sidebar'><div class='content'>x</div><p>much more beside it, which is no content at all</p></div><p>article</p>", "article"),
+])
+def test_articles_inside_forms_and_layouts(page, want):
+    assert text(page) == want
+
+
+def test_templates_meet_only_their_own_pages(spark):
+    """Very many templates on one host: a page is compared with those of its own elements."""
+    rows = [(i, "http://a.example/", "<article>" + "".join(f"<p>one two three four five word{(i * 7 + j) % 400}</p>" for j in range(40))
+             + f"<h1>alone {i}</h1><p>this page says something of its own here {i * i}</p></article>", "x", 1) for i in range(120)]
+    got = {r.page_id: r.text for r in tr.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"alone {i}\nthis page says something of its own here {i * i}" for i in range(120)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING, host STRING, text INT").repartition(3)
 
