@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -33,6 +34,16 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(_KEY, str(rows))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so when the driver's garbage is collected, which a driver with little to do puts off; the files of a chain of staged
+    steps would pile up on the executors meanwhile.  What a step needs is in its staged table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Write what ``make`` returns and delete what it staged on the way."""
     path = new_stage_path(spark, name)

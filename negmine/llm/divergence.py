@@ -304,8 +304,8 @@ def _terms_above(tiles: DataFrame, top: int) -> DataFrame:
                                          names=["lang", "g", "item", "value"])
 
     with small_batches(tiles.sparkSession, 20):
-        return tiles.select("lang", "rb", "n_terms", "lang_total", "depth", "totals", "tree", "counts", "terms", "all").mapInArrow(
-            run, "lang string, g long, item string, value long")
+        return stage(tiles.select("lang", "rb", "n_terms", "lang_total", "depth", "totals", "tree", "counts", "terms", "all").mapInArrow(
+            run, "lang string, g long, item string, value long"), "above")
 
 
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.batches import free_shuffles
 from negmine.llm.bytehash import mix
 from negmine.staging import stage
 
@@ -119,6 +120,7 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
             points = points.drop("moved")
         labels = stage(_relabelled(labels, points).union(points), f"{name}-labels")
         left = stage(_pairs(_between(left, points, "to")), f"{name}-edges")
+    free_shuffles(edges.sparkSession)
     return labels
 
 
@@ -154,18 +156,24 @@ def linked_groups(shared: DataFrame, links: Callable[[DataFrame], DataFrame], na
         return full.select("a", "b")
 
     asked = stage(_pairs(shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))), f"{name}-pairs")
-    labels = components(links(may_link(asked)), name)
+    free_shuffles(shared.sparkSession)
+    # written: the components read them more than once
+    labels = components(stage(links(may_link(asked)), f"{name}-links"), name)
     members = shared.select("bucket", "node").union(shared.select("bucket", F.col("lead").alias("node"))).distinct()
     for round_ in range(star_rounds + 1):
         labelled = (members.join(labels, "node", "left")
                     .select("bucket", "node", F.coalesce("label", "node").alias("label")))
         # a bucket of two has had its one pair compared
-        mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-                 .where("low <> high and n > 2").select("bucket", "low"))
+        mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"),
+                                                F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+                 .where("low <> high and n > 2"))
+        # buckets of the same members, as a shared passage makes many, ask for the same pairs
+        mixed = mixed.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("low").alias("low")).select("bucket", "low")
         mixed = stage(mixed, f"{name}-mixed")
         if mixed.isEmpty():
             break
         members = stage(labelled.join(mixed, "bucket"), f"{name}-members")
+        free_shuffles(shared.sparkSession)
         if round_ < star_rounds:
             # another leader for everyone: of the members outside the lowest label one, chosen by hash
             best = stage(members.where("label <> low").groupBy("bucket")

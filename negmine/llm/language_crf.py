@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from negmine.llm.batches import bound_batches
 from negmine.llm.bytehash import CHUNK_BYTES, Chunk, byte_class, chunks, lowered, span_hash
 
 LETTERS = byte_class("[A-Za-z]", wide=True)
@@ -261,6 +262,9 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     """
     labels = model.labels
     keep = [k for k in keep or [] if k not in (id_col, "held_out", "lang_pred", "score", sure_col)]
+    plain = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"  # then the text passes once
+    rest = [k for k in keep if not (plain and k == text_col)]
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,13 +284,15 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
                     scores.append(0.0)
                     sure.append(0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],
-                names=["_id", "_rest", "lang_pred", "score", "_sure"])
+                [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64()),
+                 *([column] if plain else [])],
+                names=["_id", "_rest", "lang_pred", "score", "_sure", *(["_text"] if plain else [])])
 
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
-                       F.struct(*keep, F.lit(0).alias("_none")).alias("_rest"))
-    out = base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _rest {base.schema['_rest'].dataType.simpleString()}, lang_pred string, score double, _sure double")
-    return out.select(F.col("_id").alias(id_col), *(F.col("_rest")[k].alias(k) for k in keep),
+                       F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"))
+    out = base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _rest {base.schema['_rest'].dataType.simpleString()}, lang_pred string, score double, _sure double"
+                          + (", _text string" if plain else ""))
+    return out.select(F.col("_id").alias(id_col), *((F.col("_rest")[k] if k in rest else F.col("_text")).alias(k) for k in keep),
                       F.coalesce(~training_side("_id"), F.lit(False)).alias("held_out"), "lang_pred", "score",
                       *([F.col("_sure").alias(sure_col)] if sure_col else []))
 

@@ -138,3 +138,10 @@ def test_false_rejections_stay_within_the_risk():
         bad = {"stratum": "s", "_label": 0, "n": 3000} | {f"{r}:{i}": 3000 for r, x in risk_rules.RULES.items() for i in range(len(x[3]))}
         wrong += bool(risk_rules.certify([good, bad], risk=0.02, level=0.05))
     assert wrong <= 12
+
+
+def test_kept_text_passes_once(spark, messy, documents):
+    model = language_crf.learn(documents)
+    got = language_crf.identify(messy, model, keep=["text", "node"])
+    assert got.columns[:3] == ["doc_id", "text", "node"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(r.doc_id), str(r.text)) for r in messy.collect())
