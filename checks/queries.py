@@ -141,8 +141,8 @@ def truncate_text(spark, sf):
 
 
 def pick_few_shot(spark, sf):
-    picked = requests.pick_few_shot(fx.few_shot_pool(spark, sf), F.col("doc_id"))
-    return fx.corpus(spark, sf).select("doc_id", F.md5(F.array_join(picked, "|")).alias("picked_md5"))
+    picked = requests.pick_few_shot(fx.corpus(spark, sf).select("doc_id"), fx.few_shot_pool(spark, sf))
+    return picked.select("doc_id", F.md5(F.array_join("picked", "|")).alias("picked_md5"))
 
 
 def render_prompt(spark, sf):

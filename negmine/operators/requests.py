@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from negmine.constants import (
     FEW_SHOT_PICK,
@@ -25,32 +25,67 @@ _FORMAT = "Answer with JSON only, holding exactly {n} queries:"
 _VARIETY = "Vary length, aspect and intent."
 
 
-def pick_few_shot(samples: list[str], doc_id: Column, n_shots: int = FEW_SHOT_PICK,
-                  seed: int = SEED) -> Column:
-    """``n_shots`` of the sample queries per document, without replacement.
+# Rounds of the permutation; each takes two of the sixteen 16-bit words of a digest, as an affine map modulo this prime.
+_ROUNDS, _PRIME = 8, 65_537
 
-    One hash of seed and document gives a start and a stride.  The stride has no
-    factor in common with the size of the pool, so no sample comes twice, and
-    a rerun picks the same ones.  The pool is bounded by the sample reader.
-    """
-    n = len(samples)
-    if not n:
-        return F.array().cast("array<string>")
-    strides = [a for a in range(1, n + 1) if math.gcd(a, n) == 1]
-    pool = F.array(*[F.lit(s) for s in samples])
-    stride_of = F.array(*[F.lit(a) for a in strides])
 
-    def number(digest: Column, first: int) -> Column:
-        return F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
+def _turn(factor: Column, shift: Column, odd: int, rows: int, columns: int):
+    """One round: the row moves by a function of the column, or in odd rounds the column by one of the row."""
+    def moved(by: Column, at: Column, size: int) -> Column:
+        return (at + (by * factor + shift) % _PRIME) % size
+
+    if odd:
+        return lambda cell: F.struct(cell["row"].alias("row"), moved(cell["row"], cell["column"], columns).alias("column"))
+    return lambda cell: F.struct(moved(cell["column"], cell["row"], rows).alias("row"), cell["column"].alias("column"))
+
 
-    def picked(digest: Column) -> Column:
-        return let(number(digest, 1), lambda start: let(
-            F.get(stride_of, (number(digest, 9) % len(strides)).cast("int")),
-            lambda stride: F.transform(
-                F.sequence(F.lit(0), F.lit(min(n_shots, n) - 1)),
-                lambda i: F.get(pool, ((start + stride * i) % n).cast("int")))))
+def pick_places(n: int, key: Column, n_shots: int) -> Column:
+    """``n_shots`` different places below ``n`` (all, if there are fewer), chosen and ordered by a hash of ``key``.
 
-    return let(F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id)), picked)
+    A Feistel network permutes a rectangle of ``rows`` x ``columns`` cells, keyed by the digest: in turn one
+    coordinate is shifted by a random affine function of the other.  The rectangle has fewer than ``rows`` cells
+    beyond ``n``, so among the first ``n_shots`` images and that many more there are enough below ``n``; the
+    others are passed over.  No place comes twice, and a rerun picks the same.  Every ordered pair of places occurs;
+    measured, each does so within a fifth of its even share (with four rounds it would be two thirds).
+    """
+    if n >= _PRIME * _PRIME:
+        raise ValueError("a pool this large needs longer words of the digest")
+    rows = math.isqrt(n - 1) + 1
+    columns = -(-n // rows)
+    wanted = min(n_shots, n)
+    images = wanted + rows * columns - n
+    if wanted <= 0:
+        return F.array().cast("array<bigint>")
+
+    def permuted(words: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), F.lit(images - 1)), lambda x: F.struct(
+            F.floor(x / columns).alias("row"), (x % columns).cast("long").alias("column")))
+        for i in range(_ROUNDS):
+            cells = F.transform(cells, _turn(F.get(words, F.lit(2 * i)), F.get(words, F.lit(2 * i + 1)), i % 2, rows, columns))
+        places = F.transform(cells, lambda cell: cell["row"] * columns + cell["column"])
+        return F.slice(F.filter(places, lambda x: x < n), 1, wanted)
+
+    def words_of(digest: Column) -> Column:
+        pieces = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long") for i in range(2 * _ROUNDS)]
+        return let(F.array(*pieces), permuted)
+
+    return let(F.sha2(key, 256), words_of)
+
+
+def pick_few_shot(docs: DataFrame, samples: list[str], n_shots: int = FEW_SHOT_PICK,
+                  seed: int = SEED) -> DataFrame:
+    """Add ``picked``: ``n_shots`` of the sample queries per ``doc_id``, without replacement.
+
+    Any two samples can meet, in either order, see ``pick_places``.  The pool, bounded by the sample reader, is a
+    one-row table read once as a scalar subquery; plan and generated code do not grow with it.
+    """
+    if not samples:
+        return docs.withColumn("picked", F.array().cast("array<string>"))
+    pool = SparkSession.active().createDataFrame([(list(samples),)], "pool ARRAY<STRING>").scalar()
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id"))
+    placed = docs.withColumn("picked", pick_places(len(samples), key, n_shots))
+    taken = [F.get(pool, F.get("picked", F.lit(i)).cast("int")) for i in range(min(n_shots, len(samples)))]
+    return placed.withColumn("picked", F.array(*taken).cast("array<string>"))
 
 
 def render_prompt(text: Column, picked: Column | None, n_queries: int = QUERIES_PER_DOCUMENT) -> Column:
@@ -85,9 +120,9 @@ def build_query_requests(corpus: DataFrame, samples: list[str] | None = None,
 
     Repeated documents each get a request.
     """
-    text = truncate_text(F.col("text"), max_chars)
-    picked = pick_few_shot(samples, F.col("doc_id"), n_shots, seed) if samples else None
-    prompts = cap_corpus(corpus, max_docs).select(
-        F.col("doc_id").alias("record_id"), render_prompt(text, picked, n_queries).alias("prompt")
-    )
+    asked = cap_corpus(corpus, max_docs).select("doc_id", truncate_text(F.col("text"), max_chars).alias("text"))
+    if samples:
+        asked = pick_few_shot(asked, samples, n_shots, seed)
+    prompt = render_prompt(F.col("text"), F.col("picked") if samples else None, n_queries)
+    prompts = asked.select(F.col("doc_id").alias("record_id"), prompt.alias("prompt"))
     return prompts.withColumn("request_json", request_json(F.col("record_id"), F.col("prompt")))

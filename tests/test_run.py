@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from negmine import models
-from negmine.operators.requests import build_query_requests, pick_few_shot
+from negmine.operators.requests import build_query_requests, pick_few_shot, pick_places
 from negmine.plans.config import merge_config
 from negmine.plans.run import require_non_empty, run
 from negmine.streaming.requests import corpus_stream, write_request_stream
@@ -69,12 +70,51 @@ def test_few_shot(spark):
     docs = spark.range(500).select(F.col("id").cast("string").alias("doc_id"))
     for n in (1, 2, 7, 12, 100):
         pool = [f"s{i}" for i in range(n)]
-        picked = [r.p for r in docs.select(pick_few_shot(pool, F.col("doc_id")).alias("p")).collect()]
+        picked = [r.picked for r in pick_few_shot(docs, pool).collect()]
         assert all(len(set(p)) == len(p) == min(10, n) for p in picked)
         assert {q for p in picked for q in p} == set(pool)
         assert n < 12 or len({tuple(p) for p in picked}) > 20
-    one = docs.select(pick_few_shot(["a", "b", "c"], F.col("doc_id"), 2, seed=1).alias("p")).collect()
-    assert one == docs.select(pick_few_shot(["a", "b", "c"], F.col("doc_id"), 2, seed=1).alias("p")).collect()
+    one = pick_few_shot(docs, ["a", "b", "c"], 2, seed=1).collect()
+    assert one == pick_few_shot(docs, ["a", "b", "c"], 2, seed=1).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 12, 17])
+def test_few_shot_every_ordered_pair_occurs_alike(spark, n):
+    pool = [f"s{i}" for i in range(n)]
+    docs = spark.range(20_000).select(F.col("id").cast("string").alias("doc_id"))
+    picked = pick_few_shot(docs, pool, 2).groupBy("picked").count().collect()
+    want = {(a, b) for a in pool for b in pool if a != b} if n > 1 else {("s0",)}
+    assert {tuple(r.picked) for r in picked} == want
+    even = 20_000 / len(want)
+    assert all(abs(r["count"] - even) < 5 * even ** 0.5 + 0.2 * even for r in picked)
+
+
+def test_few_shot_places_against_a_plain_permutation(spark):
+    def plain(n, key, shots):
+        digest = hashlib.sha256(key.encode()).hexdigest()
+        w = [int(digest[i:i + 4], 16) for i in range(0, 64, 4)]
+        rows = next(a for a in range(1, n + 1) if a * a >= n)
+        columns = -(-n // rows)
+        found = []
+        for x in range(rows * columns):
+            row, column = divmod(x, columns)
+            for i in range(0, 16, 4):
+                row = (row + (column * w[i] + w[i + 1]) % 65537) % rows
+                column = (column + (row * w[i + 2] + w[i + 3]) % 65537) % columns
+            found.append(row * columns + column)
+        assert sorted(found) == list(range(rows * columns))
+        return [x for x in found if x < n][:shots]
+
+    keys = spark.range(40).select(F.col("id").cast("string").alias("k"))
+    for n, shots in ((1, 3), (2, 2), (6, 4), (97, 10), (1000, 10), (70_001, 3)):
+        got = {r.k: r.p for r in keys.select("k", pick_places(n, F.col("k"), shots).alias("p")).collect()}
+        assert got == {str(k): plain(n, str(k), shots) for k in range(40)}
+
+
+def test_few_shot_plan_does_not_grow_with_the_pool(spark):
+    docs = spark.range(5).select(F.col("id").cast("string").alias("doc_id"))
+    sizes = [len(pick_few_shot(docs, [f"sample query {i}" for i in range(n)])._jdf.queryExecution().optimizedPlan().toString()) for n in (100, 10_000)]
+    assert sizes[1] < 1.1 * sizes[0]
 
 
 def test_prompt_text_is_inert(spark):
