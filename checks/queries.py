@@ -38,6 +38,13 @@ def read_corpus(spark, sf):
     return readers.read_corpus(spark, path).select("doc_idx", "doc_id", F.md5("text").alias("text_md5"))
 
 
+def read_valid_corpus(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    record = F.to_json(F.struct("text", F.when(F.col("lang") != "fr", F.col("doc_id")).alias("id"), "source"))
+    path = fx.written_lines(docs.select("doc_id", record.alias("value")), "doc_id", ".jsonl")
+    return readers.read_valid_corpus(spark, path).select("doc_idx", "doc_id", F.md5("text").alias("text_md5"))
+
+
 def extract_text(spark, sf):
     return readers.extract_text(fx.table(spark, sf, "part"), "p_partkey", "p_name, p_brand,p_type,", order_by=["p_partkey"])
 
@@ -472,7 +479,7 @@ def generate_queries(spark, sf):
 
 
 REGISTERED = {
-    "read_corpus": read_corpus, "extract_text": extract_text, "with_doc_index": with_doc_index,
+    "read_corpus": read_corpus, "read_valid_corpus": read_valid_corpus, "extract_text": extract_text, "with_doc_index": with_doc_index,
     "read_responses": read_responses, "read_samples": read_samples, "read_scored": read_scored,
     "read_sample_queries": read_sample_queries, "write_corpus": write_corpus, "write_requests": write_requests,
     "write_samples": write_samples, "write_scored": write_scored,

@@ -21,9 +21,11 @@ from negmine.sources.readers import (
     extract_text,
     read_corpus,
     read_responses,
+    read_responses_told,
     read_sample_queries,
     read_samples,
     read_scored,
+    read_valid_corpus,
     require_valid_corpus,
     validate_corpus,
 )

@@ -43,6 +43,17 @@ def strict_record(text: Column, schema: T.StructType) -> Column:
     return let(text, single)
 
 
+def record_with(text: Column, schema: T.StructType, key: str) -> Column:
+    """``strict_record`` of an object that has ``key``, be its value null or not; NaN is no number here."""
+    def single(t: Column) -> Column:
+        listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), T.ArrayType(schema), _STRICT)
+        both = F.struct(listed.alias("listed"), _in_braces(t, _STRICT).alias("braced"))
+        return let(both, lambda b: F.when(
+            (F.size(b["listed"]) == 1) & has_key(b["braced"], f"v.{key}"), F.get(b["listed"], F.lit(0))))
+
+    return let(text, single)
+
+
 def needed_record(text: Column, schema: T.StructType) -> Column:
     """``strict_record``, where a text that is no record stops the job."""
     start = F.substring(text, 1, 200)

@@ -23,11 +23,12 @@ from negmine.plans.config import RunConfig
 from negmine.sources.readers import (
     cap_corpus,
     extract_text,
-    read_corpus,
-    read_responses,
+    read_responses_told,
     read_sample_queries,
-    require_valid_corpus,
+    read_valid_corpus,
+    unreadable_responses,
 )
+from negmine.sources.quarantine import SKIPPED
 from negmine.sources.writers import write_requests, write_samples, write_scored
 from negmine.staging import stage_scope
 
@@ -90,8 +91,7 @@ class _Steps:
 
 def _load_corpus(spark: SparkSession, config: RunConfig) -> DataFrame:
     if config.input_type == "jsonl":
-        require_valid_corpus(spark, config.corpus_path)
-        return read_corpus(spark, config.corpus_path, config.max_corpus_documents)
+        return read_valid_corpus(spark, config.corpus_path, config.max_corpus_documents)
     table = spark.read.format(config.table_format).load(config.corpus_path)
     return extract_text(table, config.id_column, config.text_fields, config.max_corpus_documents)
 
@@ -128,13 +128,24 @@ def run(spark: SparkSession, config: RunConfig, out: str, make_generator=None, m
     if config.write_lines:
         steps.lines("requests", asked, write_requests)
 
+    told = {}
+
     def responses():
         if config.responses_path:
-            return read_responses(spark, config.responses_path, config.skip_bad_files)
+            lines, told["skipped"] = read_responses_told(spark, config.responses_path, config.skip_bad_files)
+            return lines
         # written once, so the counter is a lasting line id
         return generate_queries(asked, make_generator).withColumn("line_id", F.monotonically_increasing_id())
 
     answers = steps.step("responses", of("responses_path", "skip_bad_files") | {"response_files": steps.files(config.responses_path)}, responses)
+
+    def skipped():
+        if not (config.responses_path and config.skip_bad_files):
+            return spark.createDataFrame([], SKIPPED)
+        # a run that was cut off after the responses looks for the files anew
+        return told["skipped"] if told else unreadable_responses(spark, config.responses_path)
+
+    left_out = steps.step("skipped_files", {}, skipped, may_be_empty=True)
     parsed = steps.step("parsed", {}, lambda: parse_known(answers, corpus))
     pairs = steps.step("pairs", {}, lambda: explode_queries(parsed.filter(F.col("doc_idx").isNotNull())))
 
@@ -158,7 +169,8 @@ def run(spark: SparkSession, config: RunConfig, out: str, make_generator=None, m
         usable = skipped_count(scored, config.num_negatives).first()
         return stage_counts(parsed).select(
             "*", (F.col("lines") - F.col("known")).alias("unknown"),
-            F.lit(usable.kept).alias("usable_samples"), F.lit(usable.skipped).alias("skipped_samples"))
+            F.lit(usable.kept).alias("usable_samples"), F.lit(usable.skipped).alias("skipped_samples"),
+            F.lit(left_out.count()).alias("skipped_files"))
 
     report = steps.step("counts", of("num_negatives"), counts)
     log.info("counts: %s", report.first().asDict())

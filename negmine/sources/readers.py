@@ -5,10 +5,10 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from negmine.constants import FEW_SHOT_POOL, SAMPLE_QUERY_FIELDS
-from negmine.functions.json_text import has_key, needed_record, strict_json, strict_record, variant_kind
+from negmine.functions.json_text import has_key, needed_record, record_with, strict_json, strict_record, variant_kind
 from negmine.functions.text import concat_fields, first_truthy, is_blank, strip_ws
 from negmine.operators.numbering import (
     number_in_place,
@@ -18,10 +18,13 @@ from negmine.operators.numbering import (
     scan_position,
     with_scan_counter,
 )
+from negmine.sources.quarantine import find_unreadable, skipped_table, unreadable_file, without_files
 from negmine.staging import stage
 
 log = logging.getLogger(__name__)
 
+_RESPONSE_FILE = r"\.jsonl\.out(\.(gz|bz2|zst|lz4|snappy|deflate))?$"
+
 CORPUS = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
 SAMPLE = T.StructType([
     T.StructField("anchor", T.StringType()),
@@ -46,14 +49,12 @@ def cap_corpus(corpus: DataFrame, max_docs: int | None) -> DataFrame:
     return corpus.filter(F.col("doc_idx") < max_docs) if max_docs else corpus
 
 
-def read_corpus(spark: SparkSession, path, max_docs: int | None = None) -> DataFrame:
-    """``doc_idx, doc_id, text`` of a JSON-lines corpus, in file order.
+def _corpus_lines(spark: SparkSession, path) -> DataFrame:
+    return with_scan_counter(scan_position(spark.read.text(path)).filter(~is_blank(F.col("value"))))
 
-    Lines are parsed once and staged as columns, so later jobs that need ids
-    only never read the text again.
-    """
-    lines = scan_position(spark.read.text(path)).filter(~is_blank(F.col("value")))
-    parsed = with_scan_counter(lines).withColumn("doc", needed_record(strip_ws(F.col("value")), CORPUS))
+
+def _numbered_corpus(parsed: DataFrame, max_docs: int | None) -> DataFrame:
+    """Stage the column ``doc`` once as columns, then number the rows in file order."""
     staged = stage(
         parsed.select(
             F.col("doc.id").alias("doc_id"),
@@ -66,13 +67,47 @@ def read_corpus(spark: SparkSession, path, max_docs: int | None = None) -> DataF
     return cap_corpus(corpus, max_docs)
 
 
+def read_corpus(spark: SparkSession, path, max_docs: int | None = None) -> DataFrame:
+    """``doc_idx, doc_id, text`` of a JSON-lines corpus, in file order.
+
+    Lines are parsed once and staged as columns, so later jobs that need ids
+    only never read the text again.
+    """
+    record = needed_record(strip_ws(F.col("value")), CORPUS)
+    return _numbered_corpus(_corpus_lines(spark, path).withColumn("doc", record), max_docs)
+
+
+def read_valid_corpus(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
+    """``read_corpus`` of a file that ``validate_corpus`` finds valid; raises as ``require_valid_corpus`` does.
+
+    Good and bad lines are counted by the scan that stages the corpus, so a valid file is read and parsed once.
+    Only a file with a bad line is read again, to tell the line and the reason.
+    """
+    _needs_jsonl(path)
+    record = record_with(strip_ws(F.col("value")), CORPUS, "text")
+    seen = Observation("corpus lines")
+    good = F.col("doc").isNotNull()
+    parsed = _corpus_lines(spark, path).withColumn("doc", record).observe(
+        seen, F.count_if(good).alias("valid"), F.count_if(~good).alias("bad"))
+    corpus = _numbered_corpus(parsed, max_docs)
+    counts = seen.get
+    if counts["bad"] or not counts["valid"]:
+        require_valid_corpus(spark, path)
+        raise ValueError(f"{counts['bad']} lines are no corpus records")
+    return corpus
+
+
+def _needs_jsonl(path: str) -> None:
+    if not path.rstrip("/").endswith(".jsonl"):
+        raise ValueError(f"expected a .jsonl path, got {path}")
+
+
 def validate_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row: valid documents, first bad line (1-based, blank lines counted), reason.
 
     Only one small row per input split leaves the scan.
     """
-    if not path.rstrip("/").endswith(".jsonl"):
-        raise ValueError(f"expected a .jsonl path, got {path}")
+    _needs_jsonl(path)
     lines = with_scan_counter(scan_position(spark.read.text(path)))
     blank = is_blank(F.col("value"))
     parsed = lines.withColumn("v", F.when(~blank, strict_json(strip_ws(F.col("value")))))
@@ -136,18 +171,47 @@ def extract_text(df: DataFrame, id_col: str, fields, max_docs: int | None = None
     return cap_corpus(numbered.select("doc_idx", "doc_id", "text"), max_docs)
 
 
+def _response_lines(spark: SparkSession, path) -> DataFrame:
+    reader = spark.read.option("pathGlobFilter", "*.jsonl.out*").option("recursiveFileLookup", "true")
+    lines = scan_position(reader.text(path))
+    return lines.filter(F.col("_file").rlike(_RESPONSE_FILE))
+
+
+def read_responses_told(spark: SparkSession, path, skip_bad_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``line_id, value`` of every ``*.jsonl.out`` file under ``path``, and ``file, reason`` of those left out.
+
+    A file that cannot be read to its end is left out whole.  Only if there is one are the others read again to
+    find all of them.
+    """
+    lines = _response_lines(spark, path)
+
+    def staged(kept: DataFrame) -> DataFrame:
+        return stage(with_scan_counter(kept.filter(~is_blank(F.col("value")))), "responses")
+
+    bad = {}
+    try:
+        written = staged(lines)
+    except Exception as error:
+        first = unreadable_file(error) if skip_bad_files else None
+        if first is None:
+            raise
+        bad = find_unreadable(lines, first)
+        log.warning("%d response files cannot be read and are left out: %s", len(bad), bad)
+        written = staged(without_files(lines, bad))
+    return number_staged(written, "line_id").select("line_id", "value"), skipped_table(spark, bad)
+
+
+def unreadable_responses(spark: SparkSession, path) -> DataFrame:
+    """``file, reason`` of every response file that cannot be read to its end."""
+    return skipped_table(spark, find_unreadable(_response_lines(spark, path)))
+
+
 def read_responses(spark: SparkSession, path, skip_bad_files: bool = False) -> DataFrame:
-    """``line_id, value`` of every ``*.jsonl.out`` file under ``path``.
+    """``line_id, value`` of every ``*.jsonl.out`` file under ``path``, compressed or not.
 
-    With ``skip_bad_files`` an unreadable file is passed over.
+    With ``skip_bad_files`` an unreadable file is left out whole, see ``read_responses_told``.
     """
-    reader = (
-        spark.read.option("pathGlobFilter", "*.jsonl.out")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", str(skip_bad_files).lower())
-    )
-    lines = scan_position(reader.text(path)).filter(~is_blank(F.col("value")))
-    return number_staged(stage(with_scan_counter(lines), "responses"), "line_id").select("line_id", "value")
+    return read_responses_told(spark, path, skip_bad_files)[0]
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

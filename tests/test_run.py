@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 
@@ -180,6 +181,22 @@ def test_answers_of_an_external_service(spark, tmp_path):
     assert spark.read.parquet(str(out / "counts")).first().skipped_samples == 1
 
 
+def test_unreadable_answers_are_counted(spark, tmp_path):
+    answers = tmp_path / "answers"
+    answers.mkdir()
+    (answers / "a.jsonl.out").write_text(answer("0", ["cat food"]))
+    whole = gzip.compress("\n".join(answer(str(i), ["dog lives"]) for i in range(20_000)).encode())
+    (answers / "b.jsonl.out.gz").write_bytes(whole[:len(whole) // 2])
+    config = {"corpus_path": corpus_file(tmp_path), "responses_path": str(answers)}
+    with pytest.raises(Exception, match="b.jsonl.out.gz"):
+        run(spark, merge_config(config), str(tmp_path / "strict"), make_scorer=models.overlap_scorer)
+    out = tmp_path / "out"
+    run(spark, merge_config({**config, "skip_bad_files": True}), str(out), make_scorer=models.overlap_scorer)
+    counts = spark.read.parquet(str(out / "counts")).first()
+    assert (counts.lines, counts.skipped_files) == (1, 1)
+    assert spark.read.parquet(str(out / "skipped_files")).first().file.endswith("b.jsonl.out.gz")
+
+
 def test_missing_models_are_told_first(spark, tmp_path):
     config = merge_config({"corpus_path": corpus_file(tmp_path), "miner": "semantic"})
     with pytest.raises(ValueError, match="make_encoder"):

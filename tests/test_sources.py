@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -210,3 +211,59 @@ def test_text_does_not_move_for_its_number(spark, tmp_path):
 def test_scored_array_on_one_line(spark, tmp_path):
     path = put(tmp_path / "a.json", [json.dumps([{"query": "q", "docs": ["d"] * 3, "scores": [1.0] * 3}] * 500)])
     assert rd.read_scored(spark, path).count() == 500
+
+
+def zipped(path, lines, share=1.0):
+    whole = gzip.compress("\n".join(lines).encode())
+    path.write_bytes(whole[:int(len(whole) * share)])
+
+
+def test_truncated_files_are_left_out_whole_and_told(spark, tmp_path):
+    place = tmp_path / "an swers"
+    place.mkdir()
+    many = [str(i * 7919 % 10007) for i in range(20_000)]
+    for i in range(9):
+        zipped(place / f"f {i}.jsonl.out.gz", many, 0.5 if i % 3 == 1 else 1.0)
+    put(place / "plain.jsonl.out", ["a", "b"])
+    put(place / "x.jsonl.output", ["no response file"])
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        rd.read_responses(spark, str(place))
+    lines, skipped = rd.read_responses_told(spark, str(place))
+    assert lines.count() == 6 * 20_000 + 2
+    assert lines.select("line_id").distinct().count() == 6 * 20_000 + 2
+    found = {r.file.rsplit("/", 1)[1]: r.reason for r in skipped.collect()}
+    assert set(found) == {f"f%20{i}.jsonl.out.gz" for i in (1, 4, 7)}
+    assert all("EOF" in reason or "end of" in reason.lower() for reason in found.values())
+    assert rows(rd.unreadable_responses(spark, str(place))) == rows(skipped)
+
+
+def test_no_bad_file_costs_no_second_read(spark, tmp_path, monkeypatch):
+    put(tmp_path / "a.jsonl.out", ["1"])
+    monkeypatch.setattr(rd, "find_unreadable", None)
+    lines, skipped = rd.read_responses_told(spark, str(tmp_path))
+    assert lines.count() == 1 and skipped.isEmpty()
+
+
+def test_valid_corpus_is_read_once(spark, tmp_path, monkeypatch):
+    path = put(tmp_path / "c.jsonl", ['{"text":"a"}', "", '{"id":7,"text":null}', '{"text":3,"other":{"text":[1]}}'])
+    want = [(0, "0", "a"), (1, "7", ""), (2, "2", "3")]
+    assert rows(rd.read_corpus(spark, path)) == want and rd.require_valid_corpus(spark, path) == 3
+    monkeypatch.setattr(rd, "validate_corpus", None)
+    assert rows(rd.read_valid_corpus(spark, path)) == want
+    assert rows(rd.read_valid_corpus(spark, path, 1)) == want[:1]
+
+
+@pytest.mark.parametrize("line", ["{", '{"body":"a"}', '{"text":"a"} x', '["text"]', '{"text":"a"}{"text":"b"}', "7", '{"text":NaN}', "null",
+                                  '{"text":"a","text":"b"}', "{'text':'a'}", '{"v":{"text":"a"}}', '{"a":1},"text":{"b":2}'])
+def test_bad_line_is_told_as_by_validation(spark, tmp_path, line):
+    path = put(tmp_path / "c.jsonl", ['{"text":"fine"}', "", line, '{"text":"fine"}'])
+    for read in (rd.require_valid_corpus, rd.read_valid_corpus):
+        with pytest.raises(ValueError, match="^line 3: "):
+            read(spark, path)
+
+
+def test_corpus_path_and_emptiness_are_told(spark, tmp_path):
+    with pytest.raises(ValueError, match="jsonl"):
+        rd.read_valid_corpus(spark, str(tmp_path / "c.txt"))
+    with pytest.raises(ValueError, match="no documents"):
+        rd.read_valid_corpus(spark, put(tmp_path / "b.jsonl", ["", " "]))
