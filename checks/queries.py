@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import fixtures as fx
 from negmine import models
@@ -82,6 +82,18 @@ def read_scored(spark, sf):
     return _scored_rows(readers.read_scored(spark, path))
 
 
+def read_scored_array(spark, sf):
+    rows = fx.scored(spark, sf).select("sample_id", F.to_json(F.struct("query", "docs", "scores")).alias("line"),
+                                       (F.col("sample_id") % 64).alias("part"))
+    order = Window.partitionBy("part").orderBy("sample_id")
+    value = F.concat(F.when(F.row_number().over(order) == 1, "[").otherwise(","), "line",
+                     F.when(F.lead("sample_id").over(order).isNull(), "]").otherwise(""))
+    path = new_stage_path(spark, "arrays")
+    # one array a file; the window has sorted the rows of a part into one task
+    rows.select(value.alias("value"), "part").write.partitionBy("part").text(path)
+    return _scored_rows(readers.read_scored(spark, path))
+
+
 def read_sample_queries(spark, sf):
     turns = fx.table(spark, sf, "conversations").filter(F.col("role") == "user")
     return readers.sample_queries(turns, ["conv_id", "turn"])
@@ -480,7 +492,7 @@ def generate_queries(spark, sf):
 
 REGISTERED = {
     "read_corpus": read_corpus, "read_valid_corpus": read_valid_corpus, "extract_text": extract_text, "with_doc_index": with_doc_index,
-    "read_responses": read_responses, "read_samples": read_samples, "read_scored": read_scored,
+    "read_responses": read_responses, "read_samples": read_samples, "read_scored": read_scored, "read_scored_array": read_scored_array,
     "read_sample_queries": read_sample_queries, "write_corpus": write_corpus, "write_requests": write_requests,
     "write_samples": write_samples, "write_scored": write_scored,
     "validate_corpus": validate_corpus, "concat_fields": concat_fields, "default_id": default_id,

@@ -18,6 +18,7 @@ from negmine.operators.numbering import (
     scan_position,
     with_scan_counter,
 )
+from negmine.sources.json_array import array_elements, is_array
 from negmine.sources.quarantine import find_unreadable, skipped_table, unreadable_file, without_files
 from negmine.staging import stage
 
@@ -36,7 +37,6 @@ SCORED = T.StructType([
     T.StructField("docs", T.ArrayType(T.StringType())),
     T.StructField("scores", T.ArrayType(T.DoubleType())),
 ])
-_ARRAY_FILE = {"mode": "FAILFAST", "allowSingleQuotes": "false", "maxStringLen": str((1 << 31) - 1)}
 
 
 def default_id(df: DataFrame) -> DataFrame:
@@ -237,16 +237,15 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    """``query, docs, scores`` from JSON lines or from one JSON array.
+    """``query, docs, scores`` from JSON lines or from files that are one JSON array each.
 
-    The first character decides.  An array file cannot be split, so JSON lines
-    is the form for large data.
+    The first character decides.  Both forms are read in as many tasks as the bytes ask for; lines need no shuffle.
     """
-    lines = spark.read.text(path).filter(~is_blank(F.col("value")))
-    head = lines.select(F.substring(strip_ws(F.col("value")), 1, 1).alias("c")).first()
-    if head is not None and head.c == "[":
-        return spark.read.schema(SCORED).options(**_ARRAY_FILE).json(path, multiLine=True)
-    return lines.select(needed_record(strip_ws(F.col("value")), SCORED).alias("r")).select("r.*")
+    if is_array(spark, path):
+        records = array_elements(spark, path)
+    else:
+        records = spark.read.text(path).filter(~is_blank(F.col("value")))
+    return records.select(needed_record(strip_ws(F.col("value")), SCORED).alias("r")).select("r.*")
 
 
 def sample_query(df: DataFrame):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from negmine.functions import text as tx
 from negmine.operators import numbering as n
-from negmine.sources import readers as rd, writers as wr
+from negmine.sources import json_array as ja, readers as rd, writers as wr
 
 
 def put(path, lines):
@@ -267,3 +267,33 @@ def test_corpus_path_and_emptiness_are_told(spark, tmp_path):
         rd.read_valid_corpus(spark, str(tmp_path / "c.txt"))
     with pytest.raises(ValueError, match="no documents"):
         rd.read_valid_corpus(spark, put(tmp_path / "b.jsonl", ["", " "]))
+
+
+def scored_records(n):
+    bits = ['plain', 'a } b', '{"x": [', '\\"', 'back\\\\', '[]}]}', '","', 'ü\n}', '']
+    return [{"query": f"{i} {bits[i % 9]}", "docs": [bits[(i + j) % 9] * (i % 4) for j in range(i % 5)], "scores": [j / 8 for j in range(i % 5)]}
+            | ({"more": {"deep": [{"a": "}"}, {}]}} if i % 3 == 0 else {}) for i in range(n)]
+
+
+@pytest.mark.parametrize("form", ["one line", "indented"])
+@pytest.mark.parametrize("split", ["37", "300", "100000"])
+def test_array_files_are_split_anywhere(spark, tmp_path, setting, form, split):
+    setting("spark.sql.files.maxPartitionBytes", split)
+    setting("spark.sql.files.openCostInBytes", "0")
+    records = scored_records(60)
+    for name, part in (("a.json", records[:35]), ("b.json", records[35:])):
+        (tmp_path / name).write_text(" " + json.dumps(part, indent=None if form == "one line" else 2) + "\n", encoding="utf-8")
+    (tmp_path / "c.json").write_text("[ \n]")
+    want = sorted((r["query"], r["docs"], r["scores"]) for r in records)
+    assert rows(rd.read_scored(spark, str(tmp_path))) == want
+    if split == "300":
+        assert ja.pieces(spark, str(tmp_path)).rdd.getNumPartitions() > 5
+
+
+@pytest.mark.parametrize("text", [
+    '[{"query":"a"}', '[{"query":"a"},', '[{"query":"a"}]]', '[{"query":"a"} {"query":"b"}]', '[{"query":"a"},5]', '[5,{"query":"a"}]',
+    '[{"query":"a"},]', '[{"query":"a}]', '[{"query":"a"}] x', '[[{"query":"a"}]]', '[{"query":"a"}][{"query":"b"}]'])
+def test_broken_arrays_stop(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="malformed"):
+        rd.read_scored(spark, str(tmp_path / "a.json")).collect()
