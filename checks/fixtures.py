@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from negmine.functions.binding import let
 from negmine.staging import new_stage_path, spread, stage
@@ -33,13 +33,17 @@ def few_shot_pool(spark, sf_dir) -> list[str]:
 
 def with_spread_queries(docs: DataFrame) -> DataFrame:
     """Add ``words``, ``q1``, ``q2``: six words each, from all over the text."""
+    return _spread_queries(spread(docs, "doc_id"))
+
+
+def _spread_queries(docs: DataFrame) -> DataFrame:
     def picked(words, shift):
         places = [F.get(words, F.floor(F.size(words) * (2 * i + shift) / 12).cast("int")) for i in range(6)]
         return F.concat_ws(" ", *places)
 
     words = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N} ]", " "), " "), lambda w: w != "")
     made = let(words, lambda w: F.struct(w.alias("words"), picked(w, 0).alias("q1"), picked(w, 1).alias("q2")))
-    return spread(docs, "doc_id").withColumn("_q", made).select("*", "_q.*").drop("_q")
+    return docs.withColumn("_q", made).select("*", "_q.*").drop("_q")
 
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -70,16 +74,30 @@ def pairs(spark, sf_dir) -> DataFrame:
     return query_doc_pairs(responses(spark, sf_dir).select("line_id", "value"), corpus(spark, sf_dir))[0]
 
 
+# Ids of a block of neighbours, and how many next ids a sample takes its negatives from.
+BLOCK_IDS, FOLLOWING = 500, 5
+# Bytes of input for a task that makes samples.
+SAMPLE_TASK_BYTES = 32 << 20
+
+
 def samples(spark, sf_dir) -> DataFrame:
-    """One training sample per document: its query, its text, the texts of the next five."""
-    docs = with_spread_queries(table(spark, sf_dir, "documents")).select("doc_id", "text", "q1")
-    following = docs.select("text", F.explode(F.array(*[
-        F.struct((F.col("doc_id") - j).alias("doc_id"), F.lit(j).alias("j")) for j in range(1, 6)])).alias("x"))
-    listed = following.groupBy(F.col("x.doc_id").alias("doc_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("x.j", "text"))), lambda x: x.text).alias("negatives"))
-    return docs.join(listed, "doc_id", "left").select(
+    """One training sample per document: its query, its text, the texts of the next five.
+
+    Documents lie in blocks of ids, the first of a block in the one before too, so the next five are a range of a
+    window inside the block and every text is shuffled once.  Blocks are dealt in ranges of the ids, as many as the bytes ask for.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SAMPLE_TASK_BYTES)
+    block, before = (F.floor((F.col("doc_id") - j) / BLOCK_IDS) for j in (0, FOLLOWING))
+    placed = docs.withColumn("_block", F.explode(F.array_distinct(F.array(block, before))))
+    near = Window.partitionBy("_block").orderBy("doc_id").rangeBetween(1, FOLLOWING)
+    listed = placed.repartitionByRange(tasks, "_block").withColumn("_next", F.collect_list(F.struct("doc_id", "text")).over(near))
+    own = listed.where(F.col("_block").eqNullSafe(block))
+    negatives = F.when(F.col("doc_id").isNotNull(), F.transform(F.sort_array("_next"), lambda x: x.text))
+    return _spread_queries(own).select(
         F.col("doc_id").alias("sample_id"), F.col("q1").alias("anchor"), F.col("text").alias("positive"),
-        F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"))
+        F.coalesce(negatives, F.array().cast("array<string>")).alias("negatives"))
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -108,11 +126,15 @@ def own_vectors(spark, sf_dir) -> DataFrame:
         F.col("vec_id").cast("string").alias("query_id"), F.col("vec_id").alias("doc_idx"))
 
 
-def written_lines(lines: DataFrame, order: str, name: str) -> str:
-    """Write the column ``value`` in order, as files named ``*<name>``; the folder's path."""
+def written_lines(lines: DataFrame, order: str, name: str, in_ranges: bool = False, compressed: bool = False) -> str:
+    """Write the column ``value`` in order, as files named ``*<name>``; the folder's path.
+
+    ``in_ranges``: the partitions are ranges of ``order`` already, so nothing is shuffled for it.
+    """
     spark = lines.sparkSession
     path = new_stage_path(spark, "lines") + ".jsonl"
-    lines.orderBy(order).select("value").write.text(path)
+    ordered = lines.sortWithinPartitions(order) if in_ranges else lines.orderBy(order)
+    ordered.select("value").write.text(path, compression="lz4" if compressed else "none")
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

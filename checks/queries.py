@@ -64,7 +64,7 @@ def read_samples(spark, sf):
     made = fx.samples(spark, sf).withColumn(
         "negatives", F.when(F.col("sample_id") % 5 != 0, F.col("negatives")))
     path = fx.written_lines(made.select("sample_id", F.to_json(F.struct("anchor", "positive", "negatives")).alias("value")),
-                            "sample_id", ".json")
+                            "sample_id", ".json", in_ranges=True, compressed=True)
     return readers.read_samples(spark, path).select(
         "sample_id", "anchor", F.md5("positive").alias("positive_md5"),
         F.size("negatives").cast("long").alias("n_negatives"), F.md5(F.array_join("negatives", "|")).alias("negatives_md5"))
@@ -113,7 +113,7 @@ def write_requests(spark, sf):
 
 def write_samples(spark, sf):
     path = new_stage_path(spark, "sink")
-    writers.write_samples(fx.samples(spark, sf), path)
+    writers.write_samples(fx.samples(spark, sf), path, "lz4")
     return spark.read.schema(readers.SAMPLE).json(path).select(
         "anchor", F.md5("positive").alias("positive_md5"), F.md5(F.array_join("negatives", "|")).alias("negatives_md5"))
 

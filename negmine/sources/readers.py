@@ -215,11 +215,11 @@ def read_responses(spark: SparkSession, path, skip_bad_files: bool = False) -> D
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """``sample_id, anchor, positive, negatives`` of every ``*.jsonl`` and ``*.json`` file.
+    """``sample_id, anchor, positive, negatives`` of every ``*.jsonl`` and ``*.json`` file, compressed or not.
 
     A record without anchor or positive stops the job.
     """
-    reader = spark.read.option("pathGlobFilter", "*.{jsonl,json}")
+    reader = spark.read.option("pathGlobFilter", "*.{jsonl,json}{,.gz,.bz2,.zst,.lz4,.snappy,.deflate}")
     lines = scan_position(reader.text(path)).filter(~is_blank(F.col("value")))
     parsed = with_scan_counter(lines).withColumn("s", needed_record(strip_ws(F.col("value")), SAMPLE))
 

@@ -20,9 +20,12 @@ def write_requests(requests: DataFrame, path: str) -> None:
     requests.select("request_json").write.mode("errorifexists").text(path)
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """``{"anchor", "positive", "negatives"}`` lines."""
-    samples.select("anchor", "positive", "negatives").write.mode("errorifexists").json(path)
+def write_samples(samples: DataFrame, path: str, compression: str = "none") -> None:
+    """``{"anchor", "positive", "negatives"}`` lines.
+
+    Samples hold the same texts many times over; any ``compression`` that Spark's JSON sink knows makes them a fraction.
+    """
+    samples.select("anchor", "positive", "negatives").write.mode("errorifexists").json(path, compression=compression)
 
 
 def write_scored(scored: DataFrame, path: str) -> None:

@@ -54,6 +54,8 @@ def stage_scope(spark: SparkSession):
 
 # Bytes a task is worth: inputs that cannot give every core this much are small.
 _TASK_BYTES = 128 << 20
+# Estimated bytes, compressed as they are, that a task of a spread input gets at most.
+_SPREAD_BYTES = 16 << 20
 
 
 def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
@@ -67,7 +69,8 @@ def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * _TASK_BYTES:
         return df
-    return df.repartition(cores, unique_key) if unique_key else df.repartition(cores)
+    n = max(cores, -(-size // _SPREAD_BYTES))
+    return df.repartition(n, unique_key) if unique_key else df.repartition(n)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures
+from negmine import staging
 from negmine.functions import text as tx
 from negmine.operators import numbering as n
 from negmine.sources import json_array as ja, readers as rd, writers as wr
@@ -297,3 +299,31 @@ def test_broken_arrays_stop(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception, match="malformed"):
         rd.read_scored(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_samples_window_gives_the_next_five(spark, tmp_path, monkeypatch):
+    """Blocks, gaps, repeated and missing ids; every text is shuffled once, not once per sample that holds it."""
+    monkeypatch.setattr(fixtures, "BLOCK_IDS", 7)
+    ids = [None, -3, 0, 1, 2, 2, 5, 6, 7, 8, 13, 14, 20, 21, 22, 100]
+    rows = [(x, f"text {i}") for i, x in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    made = fixtures.samples(spark, str(tmp_path))
+    got = sorted((r.positive, r.sample_id, r.negatives) for r in made.collect())
+    near = {t: [u for y, u in sorted((y, u) for y, u in rows if x is not None and y is not None and x < y <= x + 5)] for x, t in rows}
+    assert got == sorted((t, x, near[t]) for x, t in rows)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_read_samples_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p", ["n"]), ("b", "q", [])], "anchor STRING, positive STRING, negatives ARRAY<STRING>").coalesce(1)
+    wr.write_samples(rows, f"{tmp_path}/plain")
+    wr.write_samples(rows, f"{tmp_path}/packed", "lz4")
+    plain, packed = (rd.read_samples(spark, f"{tmp_path}/{x}").collect() for x in ("plain", "packed"))
+    assert plain == packed and len(plain) == 2
+
+
+def test_spread_bounds_a_task(spark, tmp_path, monkeypatch):
+    spark.range(100_000).withColumn("x", F.md5(F.col("id").cast("string"))).coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(staging, "_SPREAD_BYTES", 100_000)
+    assert staging.spread(spark.read.parquet(f"{tmp_path}/t"), "id").rdd.getNumPartitions() > 20
