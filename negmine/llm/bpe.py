@@ -21,8 +21,30 @@ from pyspark.sql import functions as F
 
 from negmine.llm.batches import bound_batches
 
-# How many different pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 200_000
+# How many different pre-tokens a worker remembers, and as many of those before them.
+REMEMBERED = 400_000
+
+
+class Remembered(dict):
+    """What ``work`` gives for a word, worked out at the first look.
+
+    When it is full, its words become the older ones and take the place of those before; a word that is asked for again
+    comes back from there, so frequent words are never worked out anew.
+    """
+
+    def __init__(self, work: Callable[[str], object], most: int | None = None):
+        super().__init__()
+        self.work, self.most, self.older = work, most, {}
+
+    def __missing__(self, word: str):
+        value = self.older.pop(word, None)
+        if value is None:
+            value = self.work(word)
+        if len(self) >= (self.most or REMEMBERED):
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
 
 
 class PerfectHash:
@@ -81,7 +103,7 @@ class Codec:
         self.pairs = {
             a << 32 | b: rank for entry, rank in ranks.items() for i in range(1, len(entry))
             if (a := ranks.get(entry[:i])) is not None and (b := ranks.get(entry[i:])) is not None}
-        self.known = _Known(self)
+        self.known = Remembered(lambda word: " ".join(map(str, self.pre_token(word))))
 
     def merge(self, word: bytes) -> list[int]:
         """Ranks of the pieces of one pre-token: the leftmost pair of the lowest rank merges first."""
@@ -120,20 +142,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Known(dict):
-    """Ids of pre-tokens as text, worked out at the first look."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = " ".join(map(str, self.codec.pre_token(word)))
-        return ids
-
-
 _codecs: dict[str, Codec] = {}
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from negmine.llm.bpe import DEFAULT, REMEMBERED, Codec, load_codec, vocabulary
+from negmine.llm.bpe import DEFAULT, Remembered, load_codec, vocabulary
 from negmine.llm.batches import bound_batches
 from negmine.staging import stage
 
@@ -16,26 +16,14 @@ from negmine.staging import stage
 _BLOCK = 1024
 
 
-class _Lengths(dict):
-    """Number of ids of a pre-token, worked out at the first look."""
+_known: dict[str, Remembered] = {}
 
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = n = len(self.codec.pre_token(word))
-        return n
-
-
-_known: dict[str, _Lengths] = {}
-
-
-def _lengths(path: str, pattern: str) -> _Lengths:
+def _lengths(path: str, pattern: str) -> Remembered:
+    """Number of ids of a pre-token, by its text."""
     if path not in _known:
-        _known[path] = _Lengths(load_codec(path, pattern))
+        codec = load_codec(path, pattern)
+        _known[path] = Remembered(lambda word: len(codec.pre_token(word)))
     return _known[path]
 
 
@@ -46,9 +34,10 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     find = vocab or vocabulary(DEFAULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lengths(*find())
+        place = find()
+        known, split = _lengths(*place), load_codec(*place).split
         for batch in batches:
-            lengths = [sum(map(known.__getitem__, known.codec.split(t))) if t else 0 for t in (x.as_py() for x in batch.column(1))]
+            lengths = [sum(map(known.__getitem__, split(t))) if t else 0 for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())],
                                              names=["id", "n_tokens"])
 

@@ -87,3 +87,13 @@ def test_lengths_of_very_long_texts(spark, codec):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
     got = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(docs).collect()}
     assert got == {i: len(codec.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_frequent_words_are_remembered():
+    """A word that keeps coming is worked out once, however many others pass."""
+    asked = []
+    known = bpe.Remembered(lambda w: asked.append(w) or len(w), 10)
+    for i in range(100):
+        assert known["often"] == 5 and known[f"w{i}"] == len(f"w{i}")
+        assert len(known) <= 10 and len(known.older) <= 10
+    assert asked.count("often") == 1
