@@ -349,6 +349,16 @@ def block_text(node: Node) -> str:
     return "\n".join(read_blocks(node)[0])
 
 
+def packed(blocks: list[str]) -> tuple[bytes, int]:
+    """Blocks as they are staged and shuffled: compressed, with the bytes of their text.  No block holds a line feed."""
+    text = "\n".join(blocks).encode("utf-8")
+    return pa.compress(text, codec="zstd", asbytes=True), len(text)
+
+
+def unpacked(data: pa.BinaryScalar, n_bytes: int) -> str:
+    return pa.decompress(data.as_buffer(), decompressed_size=n_bytes, codec="zstd", asbytes=True).decode("utf-8") if n_bytes else ""
+
+
 def read_page(page: str) -> tuple[Node, Node]:
     tree = parse(page)
     clean(tree)
@@ -373,8 +383,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
 
-    schema = f"_id {kind}, _url {url_kind}, blocks array<string>, host string, subtrees array<long>, articles array<long>, firsts array<int>, ends array<int>"
-    types = {"blocks": pa.list_(pa.string()), "host": pa.string(), "subtrees": pa.list_(pa.int64()), "articles": pa.list_(pa.int64()),
+    schema = (f"_id {kind}, _url {url_kind}, packed binary, n_bytes long, host string, subtrees array<long>, articles array<long>, "
+              "firsts array<int>, ends array<int>")
+    types = {"packed": pa.binary(), "n_bytes": pa.int64(), "host": pa.string(), "subtrees": pa.list_(pa.int64()), "articles": pa.list_(pa.int64()),
              "firsts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +398,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 # the name of a subtree holds the host
                 salt = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
                 found = [(h ^ salt, *rest) for h, *rest in suspects(article, blocks, parts)]
-                out["blocks"].append(blocks)
+                data, n_bytes = packed(blocks)
+                out["packed"].append(data)
+                out["n_bytes"].append(n_bytes)
                 out["host"].append(host)
                 for k, name in enumerate(("subtrees", "articles", "firsts", "ends")):
                     out[name].append([x[k] for x in found])
@@ -400,7 +413,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     templates = stage(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(min_pages))
                       .select("host", "subtree"), "subtrees")
     known = pages.sparkSession.sparkContext.broadcast(bitset(templates, "subtree"))
-    looked_at = looked.schema
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, subtree) of all subtrees that may be templates."""
@@ -415,31 +427,47 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     own = (looked.select("_row", "subtrees").mapInArrow(asked, "_row long, subtree long").join(templates.select("subtree").distinct(), "subtree", "left_semi")
            .groupBy("_row").agg(F.collect_set("subtree").alias("templates")))
 
-    def some(wanted: bool):
-        """The pages that may hold a template, or the others."""
-        place = looked_at.names.index("subtrees")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(place)
-                row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-                hit = np.zeros(len(lists), dtype=bool)
-                hit[row[may_hold(known.value, lists.flatten().to_numpy())]] = True
-                yield batch.filter(pa.array(hit if wanted else ~hit))
+    def looks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row in the batch of every subtree, which of them may be templates, and which rows may hold one."""
+        lists = batch.column("subtrees")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        may = may_hold(known.value, lists.flatten().to_numpy())
+        hit = np.zeros(len(lists), dtype=bool)
+        hit[row[may]] = True
+        return row, may, hit
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of the pages without a template."""
+        for batch in batches:
+            batch = batch.filter(pa.array(~looks(batch)[2]))
+            texts = [unpacked(data, n) for data, n in zip(batch.column("packed"), batch.column("n_bytes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
-        return looked.mapInArrow(run, looked_at)
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other pages, packed, with those of their subtrees that may be templates."""
+        for batch in batches:
+            row, may, hit = looks(batch)
+            cuts = np.r_[0, np.cumsum(np.bincount(row[may], minlength=len(batch))[hit])].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), batch.column(k).flatten().filter(pa.array(may))) for k in ("subtrees", "firsts", "ends")]
+            batch = batch.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("_id", "_url", "_row", "packed", "n_bytes")] + lists,
+                                             names=["_id", "_url", "_row", "packed", "n_bytes", "subtrees", "firsts", "ends"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blocks, subtrees, firsts, ends, templates in zip(*(batch.column(k).to_pylist() for k in range(2, 7))):
-                templates = set(templates or ())
+            lists = (batch.column(k).to_pylist() for k in ("n_bytes", "subtrees", "firsts", "ends", "templates"))
+            for data, n, subtrees, firsts, ends, templates in zip(batch.column("packed"), *lists):
+                templates, text = set(templates or ()), unpacked(data, n)
                 gone = {i for h, a, z in zip(subtrees, firsts, ends) if h in templates for i in range(a, z)}
-                texts.append("\n".join(x for i, x in enumerate(blocks) if i not in gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
-
-    done = some(False).select("_id", "_url", F.concat_ws("\n", "blocks").alias("text"))
-    doubted = (some(True).join(own, "_row", "left").select("_id", "_url", "blocks", "subtrees", "firsts", "ends", "templates")
-               .mapInArrow(second, f"_id {kind}, _url {url_kind}, text string"))
+                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
+
+    texts = f"_id {kind}, _url {url_kind}, text string"
+    done = looked.select("_id", "_url", "packed", "n_bytes", "subtrees").mapInArrow(plain, texts)
+    doubted = (looked.mapInArrow(doubtful, f"_id {kind}, _url {url_kind}, _row long, packed binary, n_bytes long, "
+                                           "subtrees array<long>, firsts array<int>, ends array<int>")
+               .join(own, "_row", "left").select("_id", "_url", "packed", "n_bytes", "subtrees", "firsts", "ends", "templates")
+               .mapInArrow(second, texts))
     return done.unionByName(doubted).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text",
                                             F.length("text").cast("long").alias("n_chars"))

@@ -121,3 +121,26 @@ def test_table(spark, small):
         plain = re.sub(r"</?(?:b|i|em|a|strong)\b[^>]*>", "", inner.replace("<br>", " "))
         blocks = [" ".join(tr.entities.unescape(x).split()) for x in re.split(r"<[^>]*>", plain)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_texts_are_staged_and_shuffled_packed(spark, monkeypatch):
+    words = "alder birch cedar dogwood elm fir ginkgo hazel ironwood juniper kapok larch maple nutmeg oak pine".split()
+    stories = [" ".join(words[(i * 31 + j * j * 7 + i * j) % 16] + str((i + j) % 9) for j in range(400)) for i in range(60)]
+    rows = [(i, "http://a.org/x", f"<body><div class=box><p>ask us now for one more of these offers</p></div><article><p>{x}</p><p>end \u00e9 {i}</p></article></body>")
+            for i, x in enumerate(stories)]
+    rows += [(90, "http://b.org/", None), (91, None, ""), (92, "http://b.org/", "<p>one</p>")]
+    seen, stage = {}, tr.stage
+    monkeypatch.setattr(tr, "stage", lambda df, name: seen.setdefault(name, stage(df, name)))
+    found = tr.main_text(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert got == {**{i: f"{x}\nend \u00e9 {i}" for i, x in enumerate(stories)}, 90: "", 91: "", 92: "one"}
+    whole = sum(len(x) for x in stories)
+    assert sum(len(r.packed) for r in seen["pages"].collect()) < whole / 2
+
+
+def test_doubtful_pages_keep_their_own_subtrees(spark):
+    box = "<div><p>call our desk on any day</p><p>we are glad to help you</p></div>"
+    rows = [(i, "http://c.org/", f"<body><div id=content><div><p>story {i} {'w%d ' % i * 30}</p></div>{box}<div><p>last of {i} and some more words</p></div></div></body>")
+            for i in range(12)]
+    got = {r.page_id: r.text for r in tr.main_text(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert got == {i: f"story {i} {' '.join(['w%d' % i] * 30)}\nlast of {i} and some more words" for i in range(12)}
