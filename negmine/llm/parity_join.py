@@ -30,6 +30,8 @@ _U = np.uint64
 SHINGLE = 5
 # Similar: 100 * intersection >= 80 * union.
 PERCENT = 80
+# 64-bit words of the folded sketch by which pairs of a bucket are told apart before anything is read again.
+FEW = 16
 
 
 def blocks_of(band: np.ndarray) -> np.ndarray:
@@ -43,7 +45,7 @@ def blocks_of(band: np.ndarray) -> np.ndarray:
 
 def sketch_bits(n: int) -> int:
     """Length of a set's bit sketch: a power of two, so that longer ones fold onto shorter ones."""
-    return max(256, 2 << max(0, int(n - 1).bit_length()))
+    return max(64 * FEW, 2 << max(0, int(n - 1).bit_length()))
 
 
 def node_of(hashes: np.ndarray) -> tuple[int, int]:
@@ -59,9 +61,9 @@ def parity(hashes: np.ndarray, bits: int) -> bytes:
 
 
 def folded(sketch: bytes) -> list[int]:
-    """Four words of the sketch, folded by exclusive or."""
+    """FEW words of the sketch, folded by exclusive or."""
     x = np.frombuffer(sketch, np.uint64)
-    while len(x) > 4:
+    while len(x) > FEW:
         x = x[:len(x) // 2] ^ x[len(x) // 2:]
     return x.view(np.int64).tolist()
 
@@ -183,11 +185,11 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def set_rows(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """``keep`` with the node, its check value, number of shingles and sketches of every row; no node for an empty set.
 
-    ``few`` is the bit sketch folded to 256 bits, ``sketch`` the whole one.
+    ``few`` is the bit sketch folded to FEW words, ``sketch`` all of it, ``whole`` the same as words where it is longer than ``few``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, checks, sizes, few, sketches = [], [], [], [], []
+            nodes, checks, sizes, few, whole, sketches = [], [], [], [], [], []
             for _, hashes, bounds in _sets(batch.column(len(keep))):
                 for lo, hi in zip(bounds[:-1], bounds[1:]):
                     a, b = node_of(hashes[lo:hi])
@@ -197,13 +199,14 @@ def set_rows(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
                     sketch = parity(hashes[lo:hi], sketch_bits(hi - lo))
                     sketches.append(sketch)
                     few.append(folded(sketch))
+                    whole.append(np.frombuffer(sketch, np.int64).tolist() if len(sketch) > 8 * FEW else [])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(few, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=[*keep, "node", "mark", "n_shingles", "few", "sketch"])
+                 pa.array(few, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=[*keep, "node", "mark", "n_shingles", "few", "whole", "sketch"])
 
     fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [
-        "node long", "mark long", "n_shingles long", "few array<long>", "sketch binary"]
+        "node long", "mark long", "n_shingles long", "few array<long>", "whole array<long>", "sketch binary"]
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, ", ".join(fields))
 
 
@@ -309,10 +312,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _near(a: str, b: str) -> Column:
-    """Sizes that allow similarity, and sketches of 256 bits that do not rule it out."""
+    """Sizes that allow similarity, and sketches that do not rule it out: first folded ones, then those of large sets as a whole.
+
+    A folded sketch of a large set is full, so it tells nothing; the whole one grows with the set.
+    """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    odd = sum((F.bit_count(F.col(f"{a}.few")[i].bitwiseXOR(F.col(f"{b}.few")[i])) for i in range(4)), F.lit(0))
-    return (F.greatest(n, m) * PERCENT <= F.least(n, m) * 100) & (odd * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+
+    def close(odd: Column) -> Column:
+        return odd * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+
+    def half(x: Column) -> Column:
+        part = F.floor(F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), part), F.slice(x, part + 1, part), lambda u, v: u.bitwiseXOR(v))
+
+    def odd(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + u)
+
+    few = sum((F.bit_count(F.col(f"{a}.few")[i].bitwiseXOR(F.col(f"{b}.few")[i])) for i in range(FEW)), F.lit(0))
+    x, y = F.col(f"{a}.whole"), F.col(f"{b}.whole")
+    # sizes that allow similarity have sketches of the same length, or of twice the other's
+    whole = F.when(F.size(x) == F.size(y), odd(x, y)).when(F.size(x) > F.size(y), odd(half(x), y)).otherwise(odd(x, half(y)))
+    few_only = (F.size(x) == 0) | (F.size(y) == 0)
+    return (F.greatest(n, m) * PERCENT <= F.least(n, m) * 100) & close(few) & (few_only | close(whole))
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -320,7 +341,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # rows of a node are alike but for the id
     classes = stage(rows.where("node is not null").groupBy("node").agg(
         F.min("_id").alias("first"), F.min("mark").alias("low"), F.max("mark").alias("high"),
-        F.first("n_shingles").alias("n_shingles"), F.first("few").alias("few"), F.first("sketch").alias("sketch")), "classes")
+        F.first("n_shingles").alias("n_shingles"), F.first("few").alias("few"), F.first("whole").alias("whole"), F.first("sketch").alias("sketch")), "classes")
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two different shingle sets have the same 64-bit name; change the constants in node_of")
     sketches = classes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))
@@ -334,7 +355,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     labels = stage_result(docs.sparkSession, "labels", lambda: linked_groups(
         shared_buckets(_token_rows(docs, text_col), "blocks"), links, "near",
-        classes.select("node", F.struct("n_shingles", "few").alias("traits")), _near))
+        classes.select("node", F.struct("n_shingles", "few", "whole").alias("traits")), _near))
     named = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = stage(named.join(stage(smallest, "smallest"), "label").select("node", "component_id"), "named")

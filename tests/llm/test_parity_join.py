@@ -165,3 +165,26 @@ def test_linked_groups_compares_across_groups(spark):
     found = groups.linked_groups(shared, links, "t", traits, lambda a, b: F.col(f"{a}.n") == F.col(f"{b}.n"))
     got_labels = {r.node: r.label for r in found.collect()}
     assert got_labels == {2: 1, 9: 1, 4: 3, 8: 7}
+
+
+def test_sketches_of_large_sets_tell_them_apart(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+
+    def traits(hashes):
+        sketch = parity_join.parity(hashes, parity_join.sketch_bits(len(hashes)))
+        whole = np.frombuffer(sketch, np.int64).tolist() if len(sketch) > 8 * parity_join.FEW else []
+        return (len(hashes), parity_join.folded(sketch), whole)
+
+    def other(size, shared):
+        return np.concatenate([base[:shared], rng.integers(0, 2**63, size - shared, dtype=np.uint64)])
+
+    rows = []
+    for size, kept in ((3000, 2700), (2500, 2480), (300, 280), (1100, 1000), (3000, 900), (2450, 600)):
+        first = base[:300] if size == 300 else base[:1000] if size == 1100 else base
+        rows.append((traits(first), traits(other(size, min(kept, len(first))))))
+    # 2,048 is where the sketch doubles
+    rows.append((traits(base[:2100]), traits(base[:1900])))
+    kind = "struct<n_shingles: long, few: array<long>, whole: array<long>>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}").select(parity_join._near("a", "b").alias("near"))
+    assert [r.near for r in df.collect()] == [True, True, True, True, False, False, True]
