@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -188,3 +189,29 @@ def test_sketches_of_large_sets_tell_them_apart(spark):
     kind = "struct<n_shingles: long, few: array<long>, whole: array<long>>"
     df = spark.createDataFrame(rows, f"a {kind}, b {kind}").select(parity_join._near("a", "b").alias("near"))
     assert [r.near for r in df.collect()] == [True, True, True, True, False, False, True]
+
+
+def test_a_pair_of_many_buckets_is_compared_in_few(spark, monkeypatch):
+    """Alike nodes share nearly all of their buckets; the join over buckets gives such a pair in few of them, and loses none."""
+    rng = random.Random(5)
+    rows = [(bucket, 0, node) for bucket in range(1, 201) for node in range(1, 13) if rng.random() < 0.9]
+    shared = spark.createDataFrame(rows, "bucket long, lead long, node long").where("lead <> node")
+    traits = spark.range(13).select(F.col("id").alias("node"), F.struct(F.col("id").alias("x")).alias("traits"))
+    real, given = groups._pairs, []
+
+    def counted(edges):
+        given.append(edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(groups, "_pairs", counted)
+    asked = []
+
+    def links(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a = 5 and b = 9")
+
+    got = {r.node: r.label for r in groups.linked_groups(shared, links, "few", traits, lambda a, b: F.col(f"{a}.x") >= 0).collect()}
+    assert got == {9: 5}
+    assert sorted(asked) == [(a, b) for a in range(13) for b in range(a + 1, 13)]
+    # 66 pairs share about 160 buckets each
+    assert max(given) <= len(rows)
