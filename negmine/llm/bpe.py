@@ -32,15 +32,15 @@ class Remembered(dict):
     comes back from there, so frequent words are never worked out anew.
     """
 
-    def __init__(self, work: Callable[[str], object], most: int | None = None):
+    def __init__(self, work: Callable[[str], object], most: int | None = None, share: int = 1):
         super().__init__()
-        self.work, self.most, self.older = work, most, {}
+        self.work, self.most, self.share, self.older = work, most, share, {}
 
     def __missing__(self, word: str):
         value = self.older.pop(word, None)
         if value is None:
             value = self.work(word)
-        if len(self) >= (self.most or REMEMBERED):
+        if len(self) >= (self.most or REMEMBERED // self.share):
             self.older = dict(self)
             self.clear()
         self[word] = value
@@ -103,7 +103,8 @@ class Codec:
         self.pairs = {
             a << 32 | b: rank for entry, rank in ranks.items() for i in range(1, len(entry))
             if (a := ranks.get(entry[:i])) is not None and (b := ranks.get(entry[i:])) is not None}
-        self.known = Remembered(lambda word: " ".join(map(str, self.pre_token(word))))
+        # ids as text take more room than numbers
+        self.known = Remembered(lambda word: " ".join(map(str, self.pre_token(word))), share=2)
 
     def merge(self, word: bytes) -> list[int]:
         """Ranks of the pieces of one pre-token: the leftmost pair of the lowest rank merges first."""

@@ -97,3 +97,12 @@ def test_frequent_words_are_remembered():
         assert known["often"] == 5 and known[f"w{i}"] == len(f"w{i}")
         assert len(known) <= 10 and len(known.older) <= 10
     assert asked.count("often") == 1
+
+
+def test_remembered_ids_in_both_generations(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    for old in (codec.known, codec.known.older):
+        old.clear()
+    for i in range(100):
+        assert codec.known[f" word{i}"] == " ".join(map(str, codec.pre_token(f" word{i}")))
+        assert len(codec.known) + len(codec.known.older) <= 10
