@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
@@ -56,7 +57,7 @@ class PerfectHash:
 
     def __init__(self, entries: list[bytes]):
         self.entries: list[bytes] = []
-        self.levels: list[list[int]] = []
+        self.levels: list[array] = []
         left = [(e, xxhash.xxh3_64_intdigest(e)) for e in entries]
         while left:
             size = 2 * len(left)
@@ -70,8 +71,9 @@ class PerfectHash:
                     self.entries.append(entry)
                 else:
                     later.append((entry, h))
-            self.levels.append(slots)
+            self.levels.append(array("i", slots))
             left = later
+        self._steps = [(depth, 2 * depth + 0x9E3779B1, len(slots), slots) for depth, slots in enumerate(self.levels)]
 
     @staticmethod
     def _place(h: int, depth: int, size: int) -> int:
@@ -80,8 +82,8 @@ class PerfectHash:
     def find(self, key: bytes) -> int:
         """The key's number, or -1 for what is no entry."""
         h = xxhash.xxh3_64_intdigest(key)
-        for depth, slots in enumerate(self.levels):
-            at = slots[self._place(h, depth, len(slots))]
+        for depth, times, size, slots in self._steps:
+            at = slots[((h >> depth) * times >> 16) % size]  # as in _place, without a call
             if at >= 0:
                 return at if self.entries[at] == key else -1
         return -1
@@ -103,32 +105,47 @@ class Codec:
         self.pairs = {
             a << 32 | b: rank for entry, rank in ranks.items() for i in range(1, len(entry))
             if (a := ranks.get(entry[:i])) is not None and (b := ranks.get(entry[i:])) is not None}
+        # the same for two bytes, at first << 8 | second; -1 where they are no entry
+        self.byte_pair = [self.pairs.get(a << 32 | b, -1) for a in self.byte for b in self.byte]
         # ids as text take more room than numbers
-        self.known = Remembered(lambda word: " ".join(map(str, self.pre_token(word))), share=2)
+        self.text_of = {rank: text for text, rank in zip(self.bytes_of_text, ranks.values())}
+        self.known = Remembered(lambda word: " ".join(map(self.text_of.__getitem__, self.pre_token(word))), share=2)
 
     def merge(self, word: bytes) -> list[int]:
         """Ranks of the pieces of one pre-token: the leftmost pair of the lowest rank merges first."""
+        byte_pair, pair = self.byte_pair, self.pairs.get
+        n = len(word)
         ids = list(word.translate(self.byte_order)) if self.byte_order else [self.byte[b] for b in word]
-        n, pair = len(ids), self.pairs.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # A heap entry is rank << 32 | place; it holds if the pair at that place still has that rank.
-        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := pair(a << 32 | b)) is not None]
+        # rank of the pair that begins at a place, -1 where none does; only neighbours of a merge are looked up again
+        rank = [byte_pair[a << 8 | b] for a, b in zip(word, word[1:])]
+        # a heap entry is rank * n + place; it holds if the pair at that place still has that rank
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        if not heap:
+            return ids
+        rank.append(-1)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            r, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or pair(ids[i] << 32 | ids[j]) != r:
+            r = top // n
+            i = top - r * n
+            if rank[i] != r:
                 continue  # one of the two has changed since
+            j = after[i]
             ids[i], ids[j] = r, -1
+            rank[j] = x = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (x := pair(r << 32 | ids[k])) is not None:
-                    heappush(heap, x << 32 | i)
+                x = pair(r << 32 | ids[k], -1)
+                if x >= 0:
+                    heappush(heap, x * n + i)
+            rank[i] = x
             h = before[i]
-            if h >= 0 and (x := pair(ids[h] << 32 | r)) is not None:
-                heappush(heap, x << 32 | h)
+            if h >= 0:
+                x = rank[h] = pair(ids[h] << 32 | r, -1)
+                if x >= 0:
+                    heappush(heap, x * n + h)
         return [i for i in ids if i >= 0]
 
     def pre_token(self, text: str) -> list[int]:

@@ -106,3 +106,19 @@ def test_remembered_ids_in_both_generations(codec, monkeypatch):
     for i in range(100):
         assert codec.known[f" word{i}"] == " ".join(map(str, codec.pre_token(f" word{i}")))
         assert len(codec.known) + len(codec.known.older) <= 10
+
+
+def test_a_merge_looks_up_its_two_neighbours_only(codec, public, monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    for word in (b" tionanier", " ètionanier".encode(), b"ab" * 500):
+        pairs = Counted(codec.pairs)
+        monkeypatch.setattr(codec, "pairs", pairs)
+        ids = codec.merge(word)
+        assert public.decode_bytes(ids) == word and ids == public._encode_single_piece(word)
+        assert pairs.asked <= 2 * (len(word) - len(ids))
