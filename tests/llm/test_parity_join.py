@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -154,6 +154,31 @@ def test_shared_buckets_stream(spark, setting, monkeypatch, batch):
         assert len(members[b]) < 2 or whole == members[b] or batch < 1000
 
 
+@pytest.mark.parametrize("batch", [2, 3, 1000])
+def test_buckets_of_two_are_told_apart(spark, setting, monkeypatch, batch):
+    """Every row of a larger bucket is marked; rows of buckets of two are not, but where a batch ends."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(groups, "LOCALLY_HOT", 4)
+    rng = np.random.default_rng(3)
+    pairs = [(b, int(x)) for b in range(300) for x in rng.choice(50, 1 + b % 7 % 3 + 5 * (b % 10 == 0), replace=False)]
+
+    def rows(batches):
+        for part in batches:
+            yield groups.bucket_batch(part.column(0).to_numpy(), part.column(1).to_numpy())
+
+    frame = spark.createDataFrame(pairs, "b LONG, x LONG").repartition(3).mapInArrow(rows, groups.ROWS)
+    setting("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    size = Counter(b for b, _ in pairs)
+    marked = defaultdict(set)
+    for r in groups.shared_buckets(frame, "t").collect():
+        marked[r.bucket].add(r.many)
+    assert set(marked) >= {b for b, n in size.items() if n > 1}
+    assert all(marked[b] == {True} for b, n in size.items() if n > 2)
+    if batch == 1000:
+        assert sum(True in marked[b] for b, n in size.items() if n == 2) <= 10
+
+
 def test_linked_groups_compares_across_groups(spark):
     """A link that only two members of a mixed bucket have is found."""
     near = {(1, 2), (3, 4), (2, 9), (7, 8)}
@@ -168,6 +193,22 @@ def test_linked_groups_compares_across_groups(spark):
     assert got_labels == {2: 1, 9: 1, 4: 3, 8: 7}
 
 
+def test_rows_of_buckets_are_shuffled_once_in_parts(spark, setting):
+    """Each part has its own buckets, all pairs across labels come, and a join shuffles its rows once."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(b, x, x % 3, x) for b in range(40) for x in range(b % 7)]
+    known = spark.createDataFrame(rows, "bucket LONG, node LONG, label LONG, x LONG").select(
+        "bucket", "node", "label", F.struct("x").alias("traits"), F.array().cast("array<long>").alias("before"))
+    known = groups.stage(known, "known")
+    parts = list(groups._across(known, lambda a, b: F.col(f"{a}.x") + F.col(f"{b}.x") >= 0))
+    assert len(parts) == groups.JOIN_PARTS > 1
+    found = [{(r.a, r.b) for r in part.collect()} for part in parts]
+    assert set().union(*found) == {(a, b) for a in range(6) for b in range(a + 1, 6) if a % 3 != b % 3}
+    parts[0].collect()
+    plan = parts[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_sketches_of_large_sets_tell_them_apart(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
